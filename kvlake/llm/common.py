@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +42,30 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this subpackage to the Python workers, once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="kvlake-"), "kvlake_llm.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("kvlake/__init__.py", "")
+        for f in sorted(here.glob("*.py")):
+            z.write(f, f"kvlake/llm/{f.name}")
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow with this subpackage at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)

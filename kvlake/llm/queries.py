@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import bpe, langid, mixing, quality, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op3_simhash": simhash.op3_simhash,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op7_language_id": langid.op7_language_id,
+        "op9_top_k": topk.op9_top_k,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_sources": mixing.SQL}
+    return {"op9_top_k": topk.SQL, "op10_mix_sources": mixing.SQL}
