@@ -1,0 +1,3 @@
+"""kvlake: versioned key-value data on Spark DataFrames."""
+
+from .schema import EngineOptions, KvError  # noqa: F401
