@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, table
 
 ROUND_ROWS = 2_000_000
-#: Chunks, and groups of ids, that a worker remembers.
-CACHE_ENTRIES = 500_000
+#: Matches and chunks, and groups of ids, that a worker remembers.
+CACHE_ENTRIES = 1_000_000
 #: Characters of text handled at once.
 SLICE_CHARS = 8_000_000
 MEMORY = "200MB"
@@ -74,8 +74,10 @@ WITH RECURSIVE t(step, k, tok) AS (
   ) b ON p.k >> 22 = b.word
   WHERE p.step < $steps AND p.k & 4194303 <> (b.best & 4194303) + 1
 )
-SELECT t.k >> 22 AS word, any_value(t.step) AS steps, list(t.tok ORDER BY t.k) AS ids
-FROM t JOIN (SELECT k >> 22 AS word, max(step) AS step FROM t GROUP BY 1) last ON t.k >> 22 = last.word AND t.step = last.step
+SELECT t.k >> 22 AS word, any_value(t.step) AS steps, unhex(string_agg(v.id_hex, '' ORDER BY t.k)) AS ids
+FROM t
+JOIN (SELECT k >> 22 AS word, max(step) AS step FROM t GROUP BY 1) last ON t.k >> 22 = last.word AND t.step = last.step
+JOIN vocabulary v ON v.id = t.tok
 GROUP BY 1
 """
 
@@ -98,10 +100,9 @@ class Codec:
                 if a is not None and b is not None:
                     pairs.append(a << 24 | b), ids.append(rank)
         self._store("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "id": pa.array(ids, pa.int64())}))
-        self._store("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "bytes": pa.array(self.ranks.keys(), pa.binary())}))
-        self.bytes_of = [self.ranks[bytes([i])] for i in range(256)]
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self._store("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "id_hex": [r.to_bytes(4, "little").hex() for r in self.ranks.values()], "bytes_hex": [t.hex() for t in self.ranks]}))
+        self.bytes_of = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.known: dict[str, bytes] = {}
         self.groups: dict[bytes, bytes] = {}
         self.opens = np.zeros(max(self.ranks.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[r for t, r in self.ranks.items() if t[:1] == b" "]] = True
@@ -111,54 +112,46 @@ class Codec:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
+    def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of some distinct words, by recursive queries until fixpoint."""
         import numpy as np
 
-        state: dict[int, list[int]] = {i: [self.bytes_of[c] for c in w] for i, w in enumerate(words)}
-        todo, done = list(state), {}
-        while todo:
-            rows = sum(len(state[i]) for i in todo)
-            longest = max(len(state[i]) for i in todo)
-            if longest >= 1 << 22:
+        out = [b""] * len(words)
+        word = np.arange(len(words))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        tokens = self.bytes_of[np.frombuffer(b"".join(words), np.uint8)]
+        while len(word):
+            if lengths.max() >= 1 << 22:
                 raise ValueError("a match of the pattern has 4 MiB or more")
-            steps = max(8, min(longest, ROUND_ROWS // max(1, rows)))
-            lengths = np.fromiter((len(state[i]) for i in todo), np.int64, len(todo))
-            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            self._store("start", pa.table({"k": pa.array(np.repeat(np.array(todo, np.int64), lengths) << 22 | np.arange(rows) - starts), "tok": pa.array(np.fromiter(chain.from_iterable(state[i] for i in todo), np.int64, rows))}))
-            out = self.con.sql(_STEPS, params={"steps": steps}).to_arrow_table()
+            steps = max(8, min(int(lengths.max()), ROUND_ROWS // len(tokens)))
+            places = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            self._store("start", pa.table({"k": np.repeat(word, lengths) << 22 | places, "tok": tokens}))
+            found = self.con.sql(_STEPS, params={"steps": steps}).to_arrow_table()
             again = []
-            for word, taken, ids in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True):
-                if taken >= steps and len(ids) > 1:
-                    state[word] = ids
-                    again.append(word)
+            for w, taken, ids in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
+                if taken >= steps and len(ids) > 4:
+                    again.append((w, ids))
                 else:
-                    done[word] = ids
-            todo = sorted(again)
-        return [done[i] for i in range(len(words))]
+                    out[w] = ids
+            again.sort()
+            word = np.array([w for w, _ in again], np.int64)
+            lengths = np.array([len(ids) // 4 for _, ids in again], np.int64)
+            tokens = np.frombuffer(b"".join(ids for _, ids in again), "<u4").astype(np.int64)
+        return out
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Adds distinct matches to `pieces`: their ids as little-endian 32-bit integers."""
-        import numpy as np
-
-        new: list[str] = []
+        """Adds distinct matches to `known`: their ids as little-endian 32-bit integers."""
+        new: list[tuple[str, bytes]] = []
         for p in pieces:
-            rank = self.ranks.get(p.encode("utf-8", "surrogatepass"))
+            raw = p.encode("utf-8", "surrogatepass")
+            rank = self.ranks.get(raw)
             if rank is None:
-                new.append(p)
+                new.append((p, raw))
             else:
-                self.pieces[p] = rank.to_bytes(4, "little")
-        new.sort(key=len)
-        lo = 0
-        while lo < len(new):  # rows of a query: about half of a round's
-            hi, rows = lo, 0
-            while hi < len(new) and (hi == lo or rows + len(new[hi]) <= ROUND_ROWS // 8):
-                rows += len(new[hi])
-                hi += 1
-            part = new[lo:hi]
-            for p, ids in zip(part, self.merge([p.encode("utf-8", "surrogatepass") for p in part]), strict=True):
-                self.pieces[p] = np.array(ids, "<u4").tobytes()
-            lo = hi
+                self.known[p] = rank.to_bytes(4, "little")
+        new.sort(key=lambda x: len(x[1]))
+        for lo, hi in slices((len(raw) for _, raw in new), ROUND_ROWS // 8) if new else ():
+            self.known.update(zip((p for p, _ in new[lo:hi]), self.merge([raw for _, raw in new[lo:hi]]), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
@@ -166,16 +159,14 @@ class Codec:
         A text is cut before each space that stands alone; as the pattern
         lets no match run across such a place, a chunk met before needs no matching.
         """
-        if len(self.chunks) > CACHE_ENTRIES:
-            self.pieces, self.chunks = {}, {}
+        if len(self.known) > CACHE_ENTRIES:
+            self.known = {}
         cut = [_chunks(t) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.chunks)
+        new = set(chain.from_iterable(cut)).difference(self.known)
         found = {c: self.find(c) for c in new}
-        self.learn(set(chain.from_iterable(found.values())).difference(self.pieces))
-        get = self.pieces.__getitem__
-        for c, p in found.items():
-            self.chunks[c] = b"".join(map(get, p))
-        get = self.chunks.__getitem__
+        self.learn(set(chain.from_iterable(found.values())).difference(self.known))
+        get = self.known.__getitem__
+        self.known.update({c: b"".join(map(get, p)) for c, p in found.items() if len(p) > 1})
         return [b"".join(map(get, c)) for c in cut]
 
     def decode_all(self, ids: list[bytes]) -> list[bytes]:
@@ -199,10 +190,9 @@ class Codec:
             lengths = np.fromiter((len(x) // 4 for x in new[lo:hi]), np.int64, hi - lo)
             flat = np.frombuffer(b"".join(new[lo:hi]), "<u4").astype(np.int64)
             self.con.register("incoming", pa.table({"item": pa.array(np.repeat(np.arange(lo, hi), lengths)), "pos": pa.array(np.arange(len(flat))), "id": pa.array(flat)}))
-            rows = self.con.sql("SELECT i.item, list(v.bytes ORDER BY i.pos) AS parts FROM incoming i JOIN vocabulary v ON v.id = i.id GROUP BY i.item").to_arrow_table()
+            rows = self.con.sql("SELECT i.item, unhex(string_agg(v.bytes_hex, '' ORDER BY i.pos)) AS text FROM incoming i JOIN vocabulary v ON v.id = i.id GROUP BY i.item").to_arrow_table()
             self.con.unregister("incoming")
-            for item, parts in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                self.groups[new[item]] = b"".join(parts)
+            self.groups.update(zip((new[i] for i in rows.column(0).to_pylist()), rows.column(1).to_pylist(), strict=True))
         self.groups.setdefault(b"", b"")
         get = self.groups.__getitem__
         return [b"".join(map(get, c)) for c in cut]

@@ -96,9 +96,13 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", t
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """Base figures, llr (the score) and kept of every document."""
     weights = log_ratios(docs, trusted_ids(labels), id_col=id_col, text_col=text_col, buckets=buckets).scalar()
+    return _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), weights, buckets, threshold)
+
+
+def _judged(docs: DataFrame, weights: Column, buckets: int, threshold: float) -> DataFrame:
     figures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     # A document's places are summed in the task that holds it, so one row a document is shuffled.
-    d = base_figures(docs, id_col=id_col, text_col=text_col).select(*figures, F.monotonically_increasing_id().alias("__row"), F.explode_outer(_places(F.col("__w"))).alias("g"))
+    d = base_figures(docs).select(*figures, F.monotonically_increasing_id().alias("__row"), F.explode_outer(_places(F.col("__w"))).alias("g"))
     one, two = _grams("g", buckets)
     weight = F.when(F.col("g").isNotNull(), F.get(weights, one) + F.get(weights, two))
     d = d.select(*figures, "__row", weight.alias("weight")).groupBy("__row").agg(F.sum("weight").alias("total"), *[F.first(c).alias(c) for c in figures])
@@ -108,3 +112,11 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def filter_kept(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that `judge` keeps, with all their columns; judged row by row, so repeated ids are no matter."""
+    weights = log_ratios(docs, trusted_ids(labels), id_col=id_col, text_col=text_col).scalar()
+    names = docs.columns
+    packed = docs.select(F.struct(*names).alias("doc_id"), F.col(text_col).alias("text"))
+    return _judged(packed, weights, BUCKETS, THRESHOLD).where("kept").select("doc_id.*")

@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, table
@@ -241,3 +241,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each group of near-duplicates, that of least id; rows with a null id stay."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    # Repeated ids: their rows are one group, so one of them stays.
+    twice = docs.groupBy(id_col).agg(F.count("*").alias("__n")).where(f"__n > 1 AND `{id_col}` IS NOT NULL").select(F.col(id_col).alias("__id"))
+    if twice.isEmpty():
+        return left
+    shared = left.join(twice, left[id_col] == twice["__id"], "left")
+    w = Window.partitionBy("__id").orderBy(F.xxhash64(*docs.columns))
+    return shared.where("__id IS NULL").select(docs.columns).union(shared.where("__id IS NOT NULL").withColumn("__r", F.row_number().over(w)).where("__r = 1").select(docs.columns))
