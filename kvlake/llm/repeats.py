@@ -45,7 +45,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of k symbols, by doubling: log2(k) passes."""
-    out, size, left, power = None, 0, k, _ODD
+    out, size, left, power = None, 0, k, int(_ODD)
     part, width = h, 1
     while left:
         if left & 1:  # append the runs of `width` after those gathered so far
@@ -53,12 +53,12 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
                 out, size = part, width
             else:
                 n = len(h) - size - width + 1
-                out = out[:n] * power + part[size : size + n]
+                out = out[:n] * np.uint64(power) + part[size : size + n]
                 size += width
         left >>= 1
         if left:
-            part = part[:-width] * power + part[width:]
-            power, width = power * power, width * 2
+            part = part[:-width] * np.uint64(power) + part[width:]
+            power, width = power * power & 0xFFFFFFFFFFFFFFFF, width * 2
     return out
 
 

@@ -1,0 +1,435 @@
+"""The operators against brute force, with the odd cases of each."""
+
+import collections
+import hashlib
+import math
+import re
+import struct
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from kvlake.llm import bpe, components, langid, mixing, pii, quality, repeats, simhash, substr, suffix, tokenstore, topk
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, copies long, `__row` long, fp long, n_pii long, th long, `__text` string"
+PASSAGE = " ".join(f"p{i}" for i in range(60))
+TEXTS = [
+    "The quick brown fox jumps over the lazy dog. " * 12,
+    "The quick brown fox jumps over the lazy dog. " * 12,
+    "one two three " + PASSAGE + " four five",
+    "six seven\n" + PASSAGE + "\teight",
+    "", None, "   \n\t ", "x", "two words", "a b c",
+    "Ünïcödé déjà vu 日本語テキスト 🎉🎉 it's they'll we've",
+    "=" * 500 + " " + "ab" * 300,
+    "line\nline\nother\n\nline\n" * 30,
+    "  two  spaces   three\r\n\x0b\x0c tabs\t\tend ",
+    "*** &&& $$$ | word*** " * 40,
+    "nbsp x y　z \x1c\x85 sep",
+    "w " * 200,
+    "mail a.bc@mail.example.com or +1 (017) 555-7713 card 4242424242424242 not 4242424242424241",
+    " ".join(f"u{i * 7919 % 1000}" for i in range(3000)),
+]
+
+
+def fixture(spark, texts=None, extra=()):
+    rows = [(i, t, "en", ["a", "b", None, "é"][i % 4], 0, 1, 1, 1, 1, 1, 1, "x") for i, t in enumerate(TEXTS if texts is None else texts)]
+    return spark.createDataFrame([*rows, *extra], SCHEMA).repartition(3)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+EMPTY: list = []
+
+
+# --- 1
+
+
+def test_bpe_equals_tiktoken(spark):
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.read_ranks(bpe.default_ranks()), special_tokens={})
+    df = fixture(spark, extra=[(3, TEXTS[3], None, None, *[None] * 7, None)])
+    got = bpe.encode(df, digest=True).collect()
+    assert len(got) == len(TEXTS) + 1
+    for r in got:
+        t = TEXTS[r["doc_id"]] or ""
+        ids = enc.encode_ordinary(t)
+        assert r["n_tokens"] == len(ids), r
+        assert r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+    back = {r["doc_id"]: bytes(r["text_bytes"]).decode() for r in bpe.decode(bpe.encode(fixture(spark))).collect()}
+    assert back == {i: t or "" for i, t in enumerate(TEXTS)}
+    assert bpe.encode(fixture(spark, EMPTY), digest=True).count() == 0
+
+
+def test_bpe_rounds_do_not_change_ids(monkeypatch):
+    c = bpe.Codec(bpe.default_ranks(), bpe.default_pattern())
+    words = [b"unbelievablywonderful", b"a" * 70, "日本語テキスト".encode(), b"=" * 40]
+    whole = c.merge(words)
+    monkeypatch.setattr(bpe, "ROUND_ROWS", 1)
+    assert c.merge(words) == whole
+
+
+# --- 2
+
+
+def test_pii_keeps_formats_and_links():
+    text = "x a.bc@mail.example.com, A.BC@mail.example.com a.bc@mail.example.com born 1984-02-29 or 31.12.1999; ssn 123-45-6789; GB82 WEST 1234 5698 7654 32; 10.20.30.40; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" 4242 4242 4242 4242"
+    new, found = pii.pseudonymise(text)
+    assert found == {"email": 3, "secret": 1, "iban": 1, "card": 1, "ssn": 1, "ipv4": 1, "date_ymd": 1, "date_dmy": 1}
+    for old in ("a.bc@", "1984-02-29", "31.12.1999", "123-45-6789", "WEST", "10.20.30.40", "04dbebab", "4242 4242"):
+        assert old not in new
+    mails = re.findall(r"\S+@mail.example.com", new)
+    assert mails[0] == mails[2] and len(set(mails)) == 2
+    assert pii.luhn("".join(re.search(r"(?:\d{4} ){3}\d{4}$", new)[0].split())) == 0
+    assert pii.pseudonymise(text, b"other key")[0] != new
+    clean = "v 1.2.3.4.5, 4242424242424241, 999.1.1.1, 2024-13-45, 12345, Version 2.0. 2086184495729368"
+    assert pii.luhn("2086184495729368")
+    assert pii.pseudonymise(clean) == (clean, {})
+
+
+def test_feistel_is_a_permutation():
+    for radix, length in ((10, 1), (10, 2), (10, 3), (2, 9), (26, 2)):
+        n = radix**length
+        assert sorted(pii.feistel(b"k", "t", x, radix, length) for x in range(n)) == list(range(n))
+
+
+def test_pii_table(spark):
+    r = by_id(pii.scrub(fixture(spark)))
+    assert r[5]["text"] is None and r[5]["n_pii"] == 0 and r[0]["text"] == TEXTS[0]
+    assert r[17]["n_pii"] == 3 and r[17]["pii_kinds"] == {"email": 1, "phone": 1, "card": 1}
+    assert "4242424242424241" in r[17]["text"] and r[17]["th"] == 1
+    assert pii.scrub(fixture(spark, EMPTY)).count() == 0
+
+
+# --- 3
+
+
+def brute_fingerprint(t):
+    from xxhash import xxh64_intdigest
+
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    g = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxh64_intdigest(x.encode(), 42) for x in g]
+    return sum(1 << b for b in range(64) if h and 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def groups(pairs, nodes):
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def test_simhash(spark):
+    df = fixture(spark, extra=[(None, "x", *[None] * 9, None), (3, TEXTS[3], *[None] * 9, None), (100, TEXTS[18] + " more", *[None] * 9, None)])
+    got = simhash.near_duplicates(df).collect()
+    texts = dict(enumerate(TEXTS)) | {100: TEXTS[18] + " more"}
+    fps = {i: brute_fingerprint(t) for i, t in texts.items()}
+    want = groups([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2], fps)
+    assert len(got) == len(TEXTS) + 3
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["fingerprint"] == f"{fps[7]:016x}"
+        else:
+            assert (r["fingerprint"], r["component_id"]) == (f"{fps[r['doc_id']]:016x}", want[r["doc_id"]])
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(set(want.values()))
+    assert kept.where("doc_id IS NULL").count() == 1
+    assert simhash.near_duplicates(fixture(spark, EMPTY)).count() == 0
+
+
+@pytest.mark.parametrize("radius,tile", [(0, 4096), (1, 4096), (2, 4096), (2, 50)])
+def test_bit_sliced_links(spark, radius, tile):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    fps = {int(x) for x in base}
+    for _ in range(300):  # chains of near fingerprints: large blocks
+        x = int(rng.choice(base))
+        for b in rng.integers(0, 12, rng.integers(0, 6)):
+            x ^= 1 << int(b)
+        fps.add(x)
+    fps = sorted(fps)
+    rows = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "doc_id long, fp long")
+    found = groups([tuple(r) for r in simhash.links(rows, radius=radius, tile=tile).collect()], range(len(fps)))
+    want = groups([(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= radius], range(len(fps)))
+    assert found == want
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+
+
+# --- 4
+
+
+def brute_quality(t):
+    w = WORD.findall(t or "")
+    c = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    at = {j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(at)
+
+
+def test_quality(spark):
+    from xxhash import xxh64_intdigest
+
+    df = fixture(spark, extra=[(3, TEXTS[3], *[None] * 9, None)])
+    good = [0, 2, 10, 18]
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(14, 0, 0), (1, 1, 1), (None, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int")
+    got = quality.judge(df, labels).collect()
+    assert len(got) == len(TEXTS) + 1
+
+    def spark_hash(*x):  # xxhash64 of several strings chains the seeds
+        seed = 42
+        for s in x:
+            seed = xxh64_intdigest(s.encode(), seed)
+        return (seed - (1 << 64) if seed >> 63 else seed) % quality.BUCKETS
+
+    def grams(t):
+        w = WORD.findall(t or "")
+        return [h for i, x in enumerate(w) for h in (spark_hash(x), spark_hash(x, w[i + 1] if i + 1 < len(w) else "\n"), spark_hash("", x[-3:]))]
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in [*enumerate(TEXTS), (3, TEXTS[3])]:
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    n, m, b = sum(raw.values()), sum(target.values()), quality.BUCKETS
+    for r in got:
+        t = TEXTS[r["doc_id"]]
+        f = brute_quality(t)
+        assert tuple(r)[1:6] == f, r
+        assert r["base_failed"] == (f[0] < 50 or 100 * f[4] > 50 * f[0])
+        g = grams(t)
+        llr = sum(math.log((target[x] + 1) / (m + b)) - math.log((raw[x] + 1) / (n + b)) for x in g) / len(g) if g else 0.0
+        assert math.isclose(r["llr"], llr, abs_tol=1e-9)
+        assert r["kept"] == (not r["base_failed"] and llr >= quality.THRESHOLD)
+    kept = quality.filter_kept(df, labels)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in got if r["kept"])
+    assert all(r["llr"] == 0 for r in quality.judge(df, labels.limit(0)).collect())
+    assert quality.judge(fixture(spark, EMPTY), labels).count() == 0
+
+
+def test_quality_runs_no_python(spark):
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    plan = quality.judge(fixture(spark), labels)._jdf.queryExecution().toString()
+    assert not re.search("ArrowEval|MapInArrow|MapInPandas|BatchEvalPython", plan)
+
+
+# --- 5
+
+
+def test_token_store(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenstore.default_tokenizer())
+    t.encode_special_tokens = True
+    extra = [(7, "again <|endoftext|>", *[None] * 9, None), (None, "no id", *[None] * 9, None)]
+    got = sorted((tuple(r) for r in tokenstore.write(fixture(spark, extra=extra)).read().collect()), key=lambda r: r[1])
+    order = [(None, "no id")] + sorted([*((i, x or "") for i, x in enumerate(TEXTS)), (7, "again <|endoftext|>")], key=lambda x: (x[0], x[1].encode()))
+    at = 0
+    assert len(got) == len(order)
+    for r, (i, x) in zip(got, order, strict=True):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 2]
+        assert r == (i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        at += len(ids)
+    store = tokenstore.write(fixture(spark))
+    asked = spark.createDataFrame([(3, 0), (12345, 0)], "doc_id long, k long")
+    one = store.read(asked, payload=True).collect()
+    assert len(one) == 1 and np.frombuffer(one[0]["ids"], "<u4").tolist() == [*t.encode(TEXTS[3], add_special_tokens=False).ids, 2]
+    assert tokenstore.write(fixture(spark, EMPTY)).read().count() == 0
+
+
+def test_perfect_hash():
+    keys = np.random.default_rng(1).integers(0, 2**63, 1500, dtype=np.uint64)
+    d = tokenstore.perfect_hash(keys)
+    assert sorted(tokenstore.slots(keys, d, len(keys)).tolist()) == list(range(1500))
+    with pytest.raises(ValueError):
+        tokenstore.perfect_hash(np.array([5, 5], np.uint64))
+
+
+# --- 6 and 8
+
+
+def marked(n, places, window):
+    m = bytearray(n)
+    for p in places:
+        m[p : p + window] = b"\1" * window
+    return m
+
+
+REPEATS = [*TEXTS, TEXTS[18][500:900] + TEXTS[0][:200], ("ab" * 300)[:250], "q" + PASSAGE]
+
+
+def test_long_strings_that_occur_earlier(spark):
+    got = by_id(suffix.deduplicate(fixture(spark, REPEATS), payload=True))
+    seen: set = set()
+    for i, t in enumerate(REPEATS):
+        b, places = (t or "").encode(), []
+        for p in range(len(b) - 99):
+            x = b[p : p + 100]
+            places += [p] if x in seen else []
+            seen.add(x)
+        m = marked(len(b), places, 100)
+        kept = bytes(c for c, f in zip(b, m, strict=True) if not f)
+        runs = sum(1 for j in range(len(m)) if m[j] and (not j or not m[j - 1]))
+        assert tuple(got[i])[:5] == (i, len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest()), i
+        assert bytes(got[i]["kept"]) == kept
+    assert sum(r["n_removed"] for r in got.values()) > 1000
+    assert suffix.deduplicate(fixture(spark, EMPTY)).count() == 0
+
+
+def test_repeated_word_windows(spark):
+    extra = [(50, TEXTS[18], *[None] * 9, None), (50, "short", *[None] * 9, None), (None, TEXTS[2], *[None] * 9, None)]
+    rows = [*enumerate(REPEATS), *((r[0], r[1]) for r in extra)]
+    got = collections.Counter(tuple(r)[:4] for r in substr.deduplicate(fixture(spark, REPEATS, extra)).collect())
+    words = [(i, WORD.findall(t or "")) for i, t in rows]
+    count = collections.Counter(tuple(w[p : p + 35]) for _, w in words for p in range(len(w) - 34))
+    want = collections.Counter()
+    for i, w in words:
+        m = marked(len(w), [p for p in range(len(w) - 34) if count[tuple(w[p : p + 35])] > 1], 35)
+        want[i, len(w), sum(m), hashlib.sha256(" ".join(x for x, f in zip(w, m, strict=True) if not f).encode()).hexdigest()] += 1
+    assert got == want
+    assert substr.deduplicate(fixture(spark, EMPTY)).count() == 0
+
+
+def test_hot_anchors_are_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", 3)
+    texts = [f"x{i} " + PASSAGE + f" y{i} z{i}" for i in range(20)]
+    assert {r["n_removed"] for r in substr.deduplicate(fixture(spark, texts)).collect()} == {60}
+    got = by_id(suffix.deduplicate(fixture(spark, texts)))
+    assert got[0]["n_removed"] == 0 and all(got[i]["n_removed"] >= len(PASSAGE) for i in range(1, 20))
+
+
+@pytest.mark.parametrize("k,w", [(1, 3), (2, 2), (3, 5), (7, 11), (8, 8)])
+def test_anchors(k, w):
+    h = np.random.default_rng(k).integers(0, 4, 200, dtype=np.uint64)
+    r = repeats.rolling(h, k)
+    assert len(r) == 201 - k
+    runs = collections.defaultdict(set)
+    for i, x in enumerate(r.tolist()):
+        runs[tuple(h[i : i + k].tolist())].add(x)
+    assert all(len(v) == 1 for v in runs.values()) and len({v for x in runs.values() for v in x}) == len(runs)
+    assert repeats.sliding_min(r, w).tolist() == [min(r[i : i + w]) for i in range(len(r) - w + 1)]
+
+
+# --- 7
+
+
+def test_language(spark):
+    en, de, ru = "the cat and the dog with house ", "der hund und die katze mit haus ", "кошка и собака в доме "
+    rows = [(i, (en, de, ru)[i % 3] * 5, ("en", "de", "ru")[i % 3], *[None] * 8, None) for i in range(60)]
+    model = langid.train(spark.createDataFrame(rows, SCHEMA))
+    probe = [(1, en, "ru", *[None] * 8, None), (2, None, *[None] * 9, None), (3, "123 ***", *[None] * 9, None), (4, ru, "en", *[None] * 8, None), (5, en * 10 + de * 6, *[None] * 9, None), (6, "", *[None] * 9, None), (7, "ΑΒΓ", *[None] * 9, None), (7, de, *[None] * 9, None)]
+    got = langid.identify(spark.createDataFrame(probe, SCHEMA), model).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    assert by[1][0]["lang_pred"] == "en" and by[1][0]["score"] == 1.0 and by[4][0]["lang_pred"] == "ru"
+    assert all((by[i][0]["lang_pred"], by[i][0]["score"]) == ("und", 0.0) for i in (2, 3, 6))
+    mixed = by[5][0]
+    assert mixed["lang_pred"] == "en" and [s["lang"] for s in mixed["spans"]] == ["en", "de"]
+    assert [s["n_words"] for s in mixed["spans"]] == [70, 42]
+    assert {r["lang_pred"] for r in by[7]} == {"de", by[7][0]["lang_pred"] if by[7][0]["lang_pred"] != "de" else by[7][1]["lang_pred"]}
+    none = langid.train(spark.createDataFrame([], SCHEMA))
+    assert langid.identify(spark.createDataFrame(probe, SCHEMA), none).where("lang_pred <> 'und'").count() == 0
+
+
+def test_viterbi_equals_brute_force():
+    rng = np.random.default_rng(3)
+    m = langid.Model(["a", "b", "c"], np.ones((3, langid.BUCKETS + len(langid.SCRIPTS))), langid.BUCKETS)
+    m.cache = {str(i): i for i in range(9)}
+    m.scores = (rng.normal(size=(9, 3)) * 8).astype(np.float32)
+    texts = [[str(x) for x in rng.integers(0, 9, n)] for n in (0, 1, 2, 5, 7, 7)]
+    for t, path in zip(texts, m.label(texts), strict=True):
+        paths = np.array(np.meshgrid(*[range(3)] * len(t))).reshape(len(t), -1).T if t else np.zeros((1, 0), int)
+        value = lambda p, t=t: sum(m.scores[int(x), s] for x, s in zip(t, p, strict=True)) - langid.SWITCH * sum(a != b for a, b in zip(p, p[1:], strict=False))
+        assert math.isclose(value(path.tolist()), max(value(p) for p in paths.tolist()), abs_tol=1e-3)
+
+
+# --- 9
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=8) * rng.choice([0.01, 1, 5])).tolist(), 1) for i in range(500)]
+    rows += [(i, rows[i % 7][1], 2) for i in range(500, 560)]  # copies: ties
+    rows += [(600, None, 0), (700, [1.0, None] * 4, 0), (701, [float("nan")] * 8, 0), (702, [float("inf")] * 8, 0), (800, [], 0), (900, [0.0] * 8, 0), (901, [3.0, 4.0], 0), (1000, [3.0, 4.0], 0), (None, [1.0] * 8, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score").collect())
+    v = {i: [math.floor(1024 * x) for x in e] for i, e, _ in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)}
+    want = []
+    for q in (x for x in v if x % 100 == 0):
+        s = sorted(((-sum(a * b for a, b in zip(v[q], c, strict=True)), i) for i, c in v.items() if i != q and len(c) == len(v[q])))
+        want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s[:10])]
+    assert got == sorted(want)
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    con = duckdb.connect()
+    con.register("embeddings", __import__("pyarrow").table({"vec_id": [r[0] for r in rows], "embedding": [r[1] for r in rows]}))
+    assert got == sorted(tuple(r) for r in con.sql(topk.SQL).fetchall() if r[0] is not None and r[2] is not None)
+
+
+def test_top_k_of_huge_values(spark):
+    df = spark.createDataFrame([(i, [1e15 * (i + 1), -1e15]) for i in range(5)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id = 0")).collect()
+    want = sorted(((min(2**63 - 1, math.floor(1024e15) * math.floor(1024 * 1e15 * (i + 1)) + math.floor(-1024e15) ** 2), -i) for i in range(1, 5)), reverse=True)
+    assert [(r["score"], -r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == want
+
+
+def test_coordinate_pruning_loses_nothing():
+    rng = np.random.default_rng(4)
+    c = np.floor(rng.normal(size=(400, 6)) * 100)
+    c[:200] = np.floor(c[0] + rng.normal(size=(200, 6)) * 2)  # a cluster: high cosines
+    c = c[np.argsort(-np.linalg.norm(c, axis=1))]
+    ids = np.arange(400)
+    s = topk.Search(6, ids[:20].tobytes(), c[:20].tobytes(), 10)
+    for lo in range(0, 400, 50):
+        s.meet(ids[lo : lo + 50].tobytes(), c[lo : lo + 50].tobytes())
+    got = sorted((a, -x, i) for a, _, x, i in s.rows())
+    want = sorted(t for q in range(20) for t in sorted((q, -int(c[q] @ c[i]), i) for i in range(400) if i != q)[:10])
+    assert got == want
+
+
+# --- 10
+
+
+def test_targets():
+    t = mixing.targets({"a": 100, "b": 100, "c": 100, None: 700})
+    assert math.isclose(sum(t.values()), 1000) and t["a"] == 300 and t["b"] <= 300 and t["c"] <= 300
+    assert mixing.targets({"a": 0}) == {"a": 0.0} and mixing.targets({}) == {}
+
+
+def test_mix(spark):
+    df = fixture(spark, [f"w{i} " * (i % 40) for i in range(3000)], [(5, None, *[None] * 9, None), (None, "a b", "x", "a", *[None] * 7, None)])
+    r = mixing.mix(df).collect()
+    assert len(r) == 3002
+    size, taken, aim = collections.Counter(), collections.Counter(), {}
+    for x in r:
+        assert x["size"] == len(WORD.findall(x["text"] or "")) and x["taken"] == x["copies"] * x["size"] and 0 <= x["copies"] <= 3
+        size[x["source"]] += x["size"]
+        taken[x["source"]] += x["taken"]
+        aim[x["source"]] = x["target"]
+    want = mixing.targets(dict(size))
+    for s in size:
+        assert math.isclose(aim[s], want[s]) and abs(taken[s] - want[s]) <= 0.03 * want[s] + 120
+    again = sorted((x["doc_id"], x["taken"]) for x in mixing.mix(df.repartition(7)).collect() if x["doc_id"] is not None)
+    assert again == sorted((x["doc_id"], x["taken"]) for x in r if x["doc_id"] is not None)
+    out = mixing.emit(mixing.mix(df), df.columns)
+    assert out.columns == df.columns and out.count() == sum(x["copies"] for x in r)
+    assert mixing.mix(fixture(spark, EMPTY)).count() == 0
