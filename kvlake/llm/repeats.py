@@ -31,6 +31,8 @@ from .common import arrow_map, fresh_path
 
 #: Segments of one anchor that a task takes whole.
 GROUP = 4096
+#: Bytes of segments that are sorted together.
+SHARD = 1 << 20
 #: Stands for a null id: before all others.
 NO_ID = -(2**63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -214,10 +216,16 @@ def anywhere(parts: list, counts: list[int], window: int, key: Callable, mine: C
     return [sorted(set(x)) for x in out]
 
 
-def repeated_windows(texts: DataFrame, *, kind: type, k: int, w: int, mode: str) -> DataFrame:
+def _with_end(items: Iterator) -> Iterator:
+    yield from items
+    yield None
+
+
+def repeated_windows(texts: DataFrame, *, kind: type, k: int, w: int, mode: str, whole_groups: Callable[[list[bytes], int], list[list[int]]] | None = None) -> DataFrame:
     """did, th, whole, starts of the texts that have repeated windows.
 
-    texts: did, th, text. whole: all windows of the text are repeats; else the
+    texts: did, th, text. whole_groups finds repeats of earlier windows in a list of segments, the
+    groups of several anchors at once. whole: all windows of the text are repeats; else the
     places in `starts` (packed int64 pairs: first window, windows) are.
     """
     window = k + w - 1
@@ -285,17 +293,27 @@ def repeated_windows(texts: DataFrame, *, kind: type, k: int, w: int, mode: str)
 
         unit, compare = unit_of(kind), earlier if mode == "earlier" else anywhere
         rows: list[tuple[int, int, int, int]] = []
-        for t in _runs(batches, (0, 1)):
-            _, share, shares, did, th, place, content, times = (t.column(i).to_pylist() for i in range(8))
-            mine = (lambda x: True) if shares[0] == 1 else (lambda x, s=share[0], n=shares[0]: xxh32_intdigest(x) % n == s)
-            hits = compare([unit.unpack(c) for c in content], times, window, unit.key, mine)
-            for d, h, p, hit in zip(did, th, place, hits, strict=True):
-                rows += [(d, h, (p >> 32) + a, n) for a, n in spans(hit)]
-            if len(rows) > 50_000:
+        shard: list[tuple] = []  # whole groups whose segments are sorted together
+        size = 0
+        for t in _with_end(_runs(batches, (0, 1))):
+            if t is not None:
+                _, share, shares, did, th, place, content, times = (t.column(i).to_pylist() for i in range(8))
+                if whole_groups is not None and shares[0] == 1:
+                    shard += zip(did, th, place, content, strict=True)
+                    size += sum(map(len, content))
+                else:
+                    mine = (lambda x: True) if shares[0] == 1 else (lambda x, s=share[0], n=shares[0]: xxh32_intdigest(x) % n == s)
+                    hits = compare([unit.unpack(c) for c in content], times, window, unit.key, mine)
+                    for d, h, p, hit in zip(did, th, place, hits, strict=True):
+                        rows += [(d, h, (p >> 32) + a, n) for a, n in spans(hit)]
+            if shard and (t is None or size >= SHARD):
+                shard.sort(key=lambda x: x[:3])
+                for (d, h, p, _), hit in zip(shard, whole_groups([x[3] for x in shard], window), strict=True):
+                    rows += [(d, h, (p >> 32) + a, n) for a, n in spans(hit)]
+                shard, size = [], 0
+            if rows and (t is None or len(rows) > 50_000):
                 yield _rows(rows)
                 rows = []
-        if rows:
-            yield _rows(rows)
 
     some = arrow_map(dealt, extend, "did long, th long, start long, n long")
     places = full.union(some).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
@@ -333,9 +351,9 @@ def covered(n: int, window: int, whole: bool | None, starts: list[dict] | None)
     return out
 
 
-def strip(docs: DataFrame, run: Callable, schema: str, *, id_col: str, text_col: str, kind: type, k: int, w: int, mode: str) -> DataFrame:
+def strip(docs: DataFrame, run: Callable, schema: str, *, id_col: str, text_col: str, kind: type, k: int, w: int, mode: str, whole_groups: Callable | None = None) -> DataFrame:
     """`run` over (id, text, whole, starts) of every document."""
     texts = keyed(docs, id_col, text_col)
-    found = repeated_windows(texts, kind=kind, k=k, w=w, mode=mode)
+    found = repeated_windows(texts, kind=kind, k=k, w=w, mode=mode, whole_groups=whole_groups)
     joined = texts.join(found, ["did", "th"], "left").select(F.when(F.col("did") != NO_ID, F.col("did")).alias("id"), "text", "whole", "starts")
     return arrow_map(joined, run, schema)

@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from kvlake.llm import bpe, components, langid, mixing, pii, quality, repeats, simhash, substr, suffix, tokenstore, topk
+from kvlake.llm import bpe, components, induced, langid, mixing, pii, quality, repeats, simhash, substr, suffix, tokenstore, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, copies long, `__row` long, fp long, n_pii long, th long, `__text` string"
@@ -433,3 +433,37 @@ def test_mix(spark):
     out = mixing.emit(mixing.mix(df), df.columns)
     assert out.columns == df.columns and out.count() == sum(x["copies"] for x in r)
     assert mixing.mix(fixture(spark, EMPTY)).count() == 0
+
+
+@pytest.mark.parametrize("budget", [4, 9, 1 << 20])
+def test_induced_sorting(budget):
+    rng = np.random.default_rng(budget)
+    for n in (0, 1, 2, 5, 40, 300):
+        for top in (2, 3, 200):
+            t = np.concatenate([rng.integers(1, top, n), [0]])
+            assert induced.suffix_array(t, budget=budget).tolist() == sorted(range(n + 1), key=lambda i: t[i:].tolist())
+            parts = [bytes(t[:-1][a : a + 25].astype(np.uint8)) for a in range(0, n, 25)]
+            seen, want = set(), []
+            for p in parts:
+                want.append([])
+                for i in range(len(p) - 2):
+                    if p[i : i + 3] in seen:
+                        want[-1].append(i)
+                    seen.add(p[i : i + 3])
+            assert suffix.later_windows(parts, 3) == want
+
+
+def test_disk_queue(tmp_path):
+    rng = np.random.default_rng(0)
+    q, held, got = induced.DiskQueue(tmp_path, 8), [], []
+    for x in rng.integers(0, 1000, 500).tolist():
+        q.push(x)
+        held.append(x)
+        if x % 3 == 0:
+            got.append(q.pop())
+            held.sort()
+            assert got[-1] == held.pop(0)
+    while q.least() is not None:
+        assert q.pop() == min(held)
+        held.remove(min(held))
+    assert not held and not list(tmp_path.iterdir())
