@@ -1,7 +1,7 @@
 """Quality rules over whole texts, DataFrame functions only (operator 4).
 
-Base figures of each text, then a verdict by hashed n-grams: words and
-pairs of neighbouring words are hashed into `buckets`. The trusted target is a multinomial over the buckets, smoothed, fitted
+Base figures of each text, then a verdict by hashed n-grams: words,
+pairs of neighbouring words and the last three characters of words are hashed into `buckets`. The trusted target is a multinomial over the buckets, smoothed, fitted
 on labelled documents of good quality; the raw corpus is another one, over
 all documents. A document's score is the mean of
 log(p_target / p_raw) over its n-grams, so long and short texts compare. Each
@@ -13,8 +13,7 @@ a bounded set that is broadcast; the table of log ratios has `buckets` entries
 and is read as one scalar subquery.
 
 Defined results: a null or blank text has no words and fails the base rule; without
-labelled documents all scores are 0 and the base rules decide; documents whose tokens
-are none score 0; repeated rows give equal rows; an empty table gives none.
+labelled documents all scores are 0 and the base rules decide; repeated rows give equal rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -60,10 +59,15 @@ def base_figures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "__w")
 
 
+#: N-grams at each place: the word, it and the next one, its last three characters.
+ORDERS = 3
+
+
 def _grams(w: str, buckets: int) -> list[Column]:
-    """The buckets of the unigram and the bigram at each place of an exploded (0: word, 1: next word)."""
+    """The buckets of the n-grams at each place of an exploded (0: word, 1: next word)."""
     word, after = F.col(f"{w}.0"), F.coalesce(F.col(f"{w}.1"), F.lit("\n"))
-    return [F.pmod(h, F.lit(buckets).cast("long")).cast("int") for h in (F.xxhash64(word), F.xxhash64(word, after))]
+    hashes = (F.xxhash64(word), F.xxhash64(word, after), F.xxhash64(F.lit(""), F.substring(word, -3, 3)))
+    return [F.pmod(h, F.lit(buckets).cast("long")).cast("int") for h in hashes]
 
 
 def _places(w: Column) -> Column:
@@ -82,9 +86,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", t
     d = docs.select(F.col(id_col).alias("__id"), words(F.col(text_col)).alias("__w"))
     d = d.join(F.broadcast(trusted.select(F.col("doc_id").alias("__of"))), F.col("__id") == F.col("__of"), "left")  # at most MAX_TRUSTED ids
     d = d.select(F.col("__of").isNotNull().cast("int").alias("__good"), F.explode(_places(F.col("__w"))).alias("g"))
-    one, two = _grams("g", buckets)
-    # Two sums over the same rows would need two passes or twice the rows: each place counts its two buckets.
-    counts = d.select("__good", F.explode(F.array(one, two)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("__good").alias("good"))
+    counts = d.select("__good", F.explode(F.array(*_grams("g", buckets))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("__good").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     sums = every.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "good"))).alias("all"), F.sum("raw").alias("raws"), F.sum("good").alias("goods"))
     a = F.lit(float(smoothing))
@@ -102,11 +104,12 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def _judged(docs: DataFrame, weights: Column, buckets: int, threshold: float) -> DataFrame:
     figures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     # A document's places are summed in the task that holds it, so one row a document is shuffled.
-    d = base_figures(docs).select(*figures, F.monotonically_increasing_id().alias("__row"), F.explode_outer(_places(F.col("__w"))).alias("g"))
-    one, two = _grams("g", buckets)
-    weight = F.when(F.col("g").isNotNull(), F.get(weights, one) + F.get(weights, two))
+    # The row's number comes before the explosion, which would else number every place.
+    d = base_figures(docs).withColumn("__row", F.monotonically_increasing_id()).select(*figures, "__row", F.explode_outer(_places(F.col("__w"))).alias("g"))
+    one, two, three = _grams("g", buckets)
+    weight = F.when(F.col("g").isNotNull(), F.get(weights, one) + F.get(weights, two) + F.get(weights, three))
     d = d.select(*figures, "__row", weight.alias("weight")).groupBy("__row").agg(F.sum("weight").alias("total"), *[F.first(c).alias(c) for c in figures])
-    d = d.withColumn("llr", F.when(F.col("n_words") > 0, F.col("total") / (2 * F.col("n_words"))).otherwise(0.0))
+    d = d.withColumn("llr", F.when(F.col("n_words") > 0, F.col("total") / (ORDERS * F.col("n_words"))).otherwise(0.0))
     return d.select(*figures, (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), "llr")
 
 
