@@ -14,8 +14,8 @@ next. The words met are kept in the worker up to CACHE_ENTRIES,
 then forgotten; that bounds memory and changes no result.
 
 Defined results: a null text counts as empty and has no ids; any text
-round-trips; repeated rows give equal rows; other columns are not read. The cost
-of one match grows with the square of its length, as one pair is contracted a step.
+round-trips; repeated rows give equal rows; other columns are not read. Matches of
+LONG bytes or more contract in one step all places that one at a time would contract in turn.
 """
 
 from __future__ import annotations
@@ -81,6 +81,49 @@ JOIN vocabulary v ON v.id = t.tok
 GROUP BY 1
 """
 
+# The same for long words, many contractions a step. All places of the least rank are contracted
+# in one step as far as that is what one at a time would do: of overlapping places (a run of
+# one token) every second, and none after a place whose contraction forms a pair of lower rank.
+_LONG_STEPS = """
+WITH RECURSIVE t(step, k, tok) AS (
+  SELECT 0, k, tok FROM start
+  UNION ALL (
+    WITH pairs AS (
+      SELECT x.k, m.id FROM t x JOIN t y ON y.k = x.k + 1 JOIN merges m ON m.pair = (x.tok << 24) | y.tok
+    ), least AS (
+      SELECT k, id FROM (SELECT k, id, min(id) OVER (PARTITION BY k >> 22) AS best FROM pairs) WHERE id = best
+    ), runs AS (
+      SELECT k, id, k - row_number() OVER (PARTITION BY k >> 22 ORDER BY k) AS run FROM least
+    ), apart AS (
+      SELECT k, id FROM (SELECT k, id, k - min(k) OVER (PARTITION BY k >> 22, run) AS spot FROM runs) WHERE spot % 2 = 0
+    ), sides AS (
+      SELECT a.k, a.id, CASE WHEN e.k IS NOT NULL THEN a.id ELSE b.tok END AS before, f.tok AS after
+      FROM apart a LEFT JOIN apart e ON e.k = a.k - 2 LEFT JOIN t b ON b.k = a.k - 1 LEFT JOIN t f ON f.k = a.k + 2
+    ), last AS (
+      SELECT s.k >> 22 AS word, min(s.k) AS k
+      FROM sides s
+      LEFT JOIN merges m ON m.pair = (s.before << 24) | s.id
+      LEFT JOIN merges n ON n.pair = (s.id << 24) | s.after
+      WHERE m.id < s.id OR n.id < s.id
+      GROUP BY 1
+    ), chosen AS (
+      SELECT a.k, a.id FROM apart a LEFT JOIN last l ON l.word = a.k >> 22 WHERE l.k IS NULL OR a.k <= l.k
+    )
+    SELECT step + 1, k - gone, tok
+    FROM (
+      SELECT p.step, p.k, coalesce(c.id, p.tok) AS tok, d.k AS dropped,
+             count(d.k) OVER (PARTITION BY p.k >> 22 ORDER BY p.k) AS gone
+      FROM t p LEFT JOIN chosen c ON c.k = p.k LEFT JOIN chosen d ON d.k = p.k - 1
+      WHERE p.step < $steps AND p.k >> 22 IN (SELECT k >> 22 FROM chosen)
+    )
+    WHERE dropped IS NULL
+  )
+)
+"""
+_RESULT = _STEPS[_STEPS.index("SELECT t.k >> 22") :]
+#: Bytes from which a word counts as long.
+LONG = 64
+
 
 class Codec:
     """A vocabulary of ranks in an in-memory DuckDB database, and what was encoded with it."""
@@ -126,7 +169,8 @@ class Codec:
             steps = max(8, min(int(lengths.max()), ROUND_ROWS // len(tokens)))
             places = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             self._store("start", pa.table({"k": np.repeat(word, lengths) << 22 | places, "tok": tokens}))
-            found = self.con.sql(_STEPS, params={"steps": steps}).to_arrow_table()
+            query = _STEPS if int(lengths.max()) < LONG else _LONG_STEPS + _RESULT
+            found = self.con.sql(query, params={"steps": steps}).to_arrow_table()
             again = []
             for w, taken, ids in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
                 if taken >= steps and len(ids) > 4:
@@ -149,9 +193,10 @@ class Codec:
                 new.append((p, raw))
             else:
                 self.known[p] = rank.to_bytes(4, "little")
-        new.sort(key=lambda x: len(x[1]))
-        for lo, hi in slices((len(raw) for _, raw in new), ROUND_ROWS // 8) if new else ():
-            self.known.update(zip((p for p, _ in new[lo:hi]), self.merge([raw for _, raw in new[lo:hi]]), strict=True))
+        for group in ([x for x in new if len(x[1]) < LONG], [x for x in new if len(x[1]) >= LONG]):
+            group.sort(key=lambda x: len(x[1]))
+            for lo, hi in slices((len(raw) for _, raw in group), ROUND_ROWS // 8) if group else ():
+                self.known.update(zip((p for p, _ in group[lo:hi]), self.merge([raw for _, raw in group[lo:hi]]), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.

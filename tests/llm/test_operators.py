@@ -467,3 +467,18 @@ def test_disk_queue(tmp_path):
         assert q.pop() == min(held)
         held.remove(min(held))
     assert not held and not list(tmp_path.iterdir())
+
+
+def test_long_words_equal_tiktoken():
+    import random
+
+    import tiktoken
+
+    c = bpe.Codec(bpe.default_ranks(), bpe.default_pattern())
+    enc = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=c.ranks, special_tokens={})
+    r = random.Random(1)
+    texts = ["a" * n for n in (63, 64, 65, 1001)] + ["ab" * 100, "=" * 777, " " * 300 + "x", "日本語" * 60]
+    texts += ["".join(r.choice(r.choice(["ab", "etaoinshrdlu", "aeéèß", "=-+*"])) for _ in range(r.choice([70, 150, 400]))) for _ in range(20)]
+    texts += ["".join(r.choice(["the", "tion", "ing", "und", "sch", "er", "en", "xq"]) for _ in range(100)) for _ in range(20)]
+    for t, ids in zip(texts, c.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t), t[:40]
