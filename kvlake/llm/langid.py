@@ -67,7 +67,10 @@ def script(word: str) -> int:
 
 def letters(token: str) -> str:
     """The letters of a token in lower case; other marks part them by a space."""
-    return " ".join(_letters.findall(token)).lower()
+    found = _letters.findall(token)
+    if not all(map(str.isalpha, found)):  # numerals such as fractions are word characters too
+        found = [x for w in found if (x := "".join(filter(str.isalpha, w)))]
+    return " ".join(found).lower()
 
 
 def grams(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
