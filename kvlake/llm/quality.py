@@ -33,15 +33,15 @@ SMOOTHING = 1.0
 FEW = 8
 
 
-def base_figures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and `__w` (the words)."""
+def base_figures(docs: DataFrame, ids: list[str], text_col: str = "text") -> DataFrame:
+    """`ids`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and `__w` (the words)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text")).withColumn("__w", words(F.col("__text")))
+    d = docs.select(*ids, text.alias("__text")).withColumn("__w", words(F.col("__text")))
     n = F.size("__w")
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hashes = F.transform(F.slice(F.col("__w"), 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("__w", i + 1), F.get("__w", i + 2)))
     symbols = F.regexp_count("__text", F.lit(r"[#*$%&|<>]")).cast("long")
-    d = d.select("doc_id", "__w", hashes.alias("__h"), lines.alias("__lines"), n.cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"), symbols.alias("n_symbols"))
+    d = d.select(*ids, "__w", hashes.alias("__h"), lines.alias("__lines"), n.cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"), symbols.alias("n_symbols"))
     d = d.withColumns({"__s": F.sort_array("__h"), "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")})
     d = d.withColumn("__again", F.array_distinct(F.filter(F.col("__s"), lambda x, i: x == F.get("__s", i - 1))))
     # Many repeated windows: sort (hash, place) and keep the places whose neighbour has the same hash.
@@ -56,7 +56,7 @@ def base_figures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     covered = F.aggregate(F.transform(F.col("__at"), lambda p, k: F.coalesce(F.least(F.lit(3), p - F.get("__at", k - 1)), F.lit(3))), F.lit(0), lambda a, x: a + x)
     d = d.withColumn("n_repeat_words", covered.cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "__w")
+    return d.select(*ids, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "__w")
 
 
 #: N-grams at each place: the word, it and the next one, its last three characters.
@@ -98,14 +98,14 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", t
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """Base figures, llr (the score) and kept of every document."""
     weights = log_ratios(docs, trusted_ids(labels), id_col=id_col, text_col=text_col, buckets=buckets).scalar()
-    return _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), weights, buckets, threshold)
+    return _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], weights, buckets, threshold)
 
 
-def _judged(docs: DataFrame, weights: Column, buckets: int, threshold: float) -> DataFrame:
-    figures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+def _judged(docs: DataFrame, ids: list[str], weights: Column, buckets: int, threshold: float) -> DataFrame:
+    figures = [*ids, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     # A document's places are summed in the task that holds it, so one row a document is shuffled.
     # The row's number comes before the explosion, which would else number every place.
-    d = base_figures(docs).withColumn("__row", F.monotonically_increasing_id()).select(*figures, "__row", F.explode_outer(_places(F.col("__w"))).alias("g"))
+    d = base_figures(docs, ids).withColumn("__row", F.monotonically_increasing_id()).select(*figures, "__row", F.explode_outer(_places(F.col("__w"))).alias("g"))
     one, two, three = _grams("g", buckets)
     weight = F.when(F.col("g").isNotNull(), F.get(weights, one) + F.get(weights, two) + F.get(weights, three))
     d = d.select(*figures, "__row", weight.alias("weight")).groupBy("__row").agg(F.sum("weight").alias("total"), *[F.first(c).alias(c) for c in figures])
@@ -118,8 +118,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_kept(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that `judge` keeps, with all their columns; judged row by row, so repeated ids are no matter."""
+    """The rows of `docs` that `judge` keeps, with all their columns; a row's id and text name its verdict, so repeated ids are no matter."""
     weights = log_ratios(docs, trusted_ids(labels), id_col=id_col, text_col=text_col).scalar()
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("doc_id"), F.col(text_col).alias("text"))
-    return _judged(packed, weights, BUCKETS, THRESHOLD).where("kept").select("doc_id.*")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__th"), text.alias("text"))
+    kept = _judged(keys, ["__id", "__th"], weights, BUCKETS, THRESHOLD).where("kept").select("__id", "__th")
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left_semi")
