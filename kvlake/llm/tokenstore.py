@@ -44,7 +44,7 @@ HEADER_BYTES = struct.calcsize(HEADER)
 SHARD_BYTES = 64 << 20
 BUCKET_KEYS = 1024
 GROUP_KEYS = 4
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 END_ID = 2
 
 
@@ -78,15 +78,15 @@ class Encoder:
             return [np.array(e.ids, self.kind).tobytes() for e in self.t.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         if len(self.words) > CACHE_WORDS:
             self.words = {}
+        code = "H" if self.kind == "<u2" else "I"
         cut_ = [t.split() for t in texts]
         new = list(set(chain.from_iterable(cut_)).difference(self.words))
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
             found = self.t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            pack = struct.Struct
             for w, e in zip(part, found, strict=True):
                 ids = e.ids
-                self.words[w] = pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}").pack(*ids)
+                self.words[w] = struct.pack(f"<{len(ids)}{code}", *ids)
         get = self.words.__getitem__
         return [b"".join(map(get, c)) for c in cut_]
 
