@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import n_words, table
 
 #: Documents of a source for each salt; a salt holds about eight size classes.
-SALT_ROWS = 4000
+SALT_ROWS = 1000
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 
@@ -136,7 +136,7 @@ WITH RECURSIVE sized AS (
 ), aims AS (
   SELECT source, source_size, n, target,
          CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0 END AS rate,
-         greatest(1, (n + 3999) // 4000) AS salts
+         greatest(1, (n + 999) // 1000) AS salts
   FROM rounds WHERE step = (SELECT max(step) FROM rounds)
 ), placed AS (
   SELECT s.doc_id, s.size, a.source_size, a.target, a.rate,
