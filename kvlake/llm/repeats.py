@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_path
+from .common import arrow_map, drop, fresh_path, write_table
 
 #: Segments of one anchor that a task takes whole.
 GROUP = 4096
@@ -145,10 +145,8 @@ def unit_of(kind: type) -> Bytes | Words:
 
 
 def store(df: DataFrame, what: str) -> DataFrame:
-    """`df` as a Parquet table of the shared folder."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """`df` as a Parquet table of the shared folder; the shuffle files behind it are let go."""
+    return write_table(df, fresh_path(df.sparkSession, what))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -280,7 +278,11 @@ def repeated_windows(texts: DataFrame, *, kind: type, k: int, w: int, mode: str,
     # 4. Equal segments by count, different ones by extension.
     at = F.struct("did", "th", "place")
     sums = held.groupBy("c1", "c2").agg(F.count("*").alias("times"), F.min(at).alias("first")).select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "times", "first")
-    marked = held.join(sums, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2"))).select("anchor", "did", "th", "place", "content", "times", (at == F.col("first")).alias("leads"))
+    leads = at == F.col("first")
+    joined = held.join(sums, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")))
+    # Kept once for the three uses below; symbols only where a segment stands for its equals.
+    marked = store(joined.select("anchor", "did", "th", "place", F.when(leads, F.col("content")).alias("content"), "times", leads.alias("leads")), "marked")
+    drop(held)
     all_of = marked.where(~F.col("leads") if mode == "earlier" else F.col("times") > 1)
     full = all_of.select("did", "th", F.shiftright("place", 32).alias("start"), F.shiftright(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 1).alias("n"))
     leaders = marked.where("leads").select("anchor", "did", "th", "place", "content", "times")

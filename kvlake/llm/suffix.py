@@ -3,10 +3,11 @@
 A byte goes if a string of `length` bytes that covers it also starts earlier: in a
 document of smaller id, or before in the same one. Strings are judged on the input.
 
-Repeats are found among segments of the texts that can hold any (module repeats): the
-segments of a shard are joined, their suffixes sorted by external induced sorting (module
+Repeats are found among segments of the texts that can hold any (module repeats). With
+`induced` the segments of a shard are joined, their suffixes sorted by external induced sorting (module
 induced), and neighbours in that order that agree in `length` bytes form classes, of which the
-earliest start stays.
+earliest start stays; without it the windows of an anchor's segments are compared
+in hash tables. Both give the same rows; README.md has the figures that decide the default.
 
 Defined results: a null text is empty; strings do not cross documents; texts shorter than
 `length` stay; rows with a null id come before all others; rows that agree in id and text count
@@ -56,7 +57,7 @@ def later_windows(parts: list[bytes], window: int) -> list[list[int]]:
     return out
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, payload: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, payload: bool = False, induced: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; with `payload` also kept (the bytes left) and spans (start, end of what went)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +75,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * payload
     kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))][: len(names) - 4]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * payload
-    return repeats.strip(docs, run, schema, id_col=id_col, text_col=text_col, kind=repeats.Bytes, k=min(ANCHOR, length), w=length - min(ANCHOR, length) + 1, mode="earlier", whole_groups=later_windows)
+    return repeats.strip(docs, run, schema, id_col=id_col, text_col=text_col, kind=repeats.Bytes, k=min(ANCHOR, length), w=length - min(ANCHOR, length) + 1, mode="earlier", whole_groups=later_windows if induced else None)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,8 +277,9 @@ def marked(n, places, window):
 REPEATS = [*TEXTS, TEXTS[18][500:900] + TEXTS[0][:200], ("ab" * 300)[:250], "q" + PASSAGE]
 
 
-def test_long_strings_that_occur_earlier(spark):
-    got = by_id(suffix.deduplicate(fixture(spark, REPEATS), payload=True))
+@pytest.mark.parametrize("induced_", [False, True])
+def test_long_strings_that_occur_earlier(spark, induced_):
+    got = by_id(suffix.deduplicate(fixture(spark, REPEATS), payload=True, induced=induced_))
     seen: set = set()
     for i, t in enumerate(REPEATS):
         b, places = (t or "").encode(), []
