@@ -245,7 +245,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of near-duplicates, that of least id; rows with a null id stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    return leave_one(docs, near_duplicates(docs, id_col=id_col, text_col=text_col), id_col=id_col)
+
+
+def leave_one(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """`docs` without the rows whose doc_id in `found` is not its component_id; rows of one id are one group."""
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
     # Repeated ids: their rows are one group, so one of them stays.

@@ -1,8 +1,9 @@
 """The pipeline against its stages by brute force."""
 
 import importlib
+import random
 
-from kvlake.llm import bpe, mixing, pii, quality, simhash
+from kvlake.llm import bpe, minhash, mixing, pii, quality, simhash
 
 pipeline = importlib.import_module("corpus_pipeline")
 
@@ -40,3 +41,41 @@ def test_stages_keep_the_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_dedup_drops_copies_alike_in_four_fifths(spark):
+    rng, schema = random.Random(5), "doc_id long, text string, lang string, source string, n_chars long"
+
+    def alike(a, b):
+        x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    texts, gone = {}, set()
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(100, 400))]
+        texts[i] = " ".join(words)
+        for e in range(1, 9):  # copies with e words changed
+            other = list(words)
+            for at in rng.sample(range(len(words)), e):
+                other[at] = f"x{rng.randrange(10**6)}"
+            texts[1000 * e + i] = " ".join(other)
+            if alike(texts[i], texts[1000 * e + i]) >= 0.8:
+                gone.add(1000 * e + i)
+    groups = {i: {k for k in texts if k % 1000 == i} for i in range(60)}
+    kept = set()
+    for group in groups.values():  # one group has few texts: all pairs
+        up = {k: k for k in group}
+        for a in sorted(group):
+            for b in sorted(group):
+                if a < b and up[a] != up[b] and alike(texts[a], texts[b]) >= 0.8:
+                    lo, hi = sorted((up[a], up[b]))
+                    up = {k: lo if v == hi else v for k, v in up.items()}
+        kept |= set(up.values())
+    assert len(gone) > 200 and len(kept) > 60
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()] + [(None, "a b", "en", "s", 3)], schema)
+    got = [r["doc_id"] for r in pipeline.simhash_near_dedup(spark, docs, "").collect()]
+    assert got.count(None) == 1 and not gone & set(got)
+    assert sorted(x for x in got if x is not None) == sorted(kept)
+    for tile in (3, 256):
+        found = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(docs, tile=tile).collect()}
+        assert {v for v in found.values() if v is not None} == kept
