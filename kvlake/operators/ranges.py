@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
+
+#: Tables a bucket of range joins, about, and buckets at most.
+BUCKET = 128
+MAX_BUCKETS = 1024
 
 
 def overlaps(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
@@ -21,14 +26,36 @@ def key_range(tables: DataFrame, *by: str) -> DataFrame:
     return tables.groupBy(*by).agg(F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"))
 
 
+def bucketed(tables: DataFrame, *others: tuple[DataFrame, str]) -> list[DataFrame]:
+    """`tables` with a row for each bucket its range meets (home: that of min_key), and each (rows, column) with its bucket.
+
+    Buckets lie between bounds near the quantiles of min_key, so joins on `bucket` compare neighbours only; any
+    bounds give the same joins. At most MAX_BUCKETS bounds come to the driver.
+    """
+    lows = tables.where("min_key IS NOT NULL").select("min_key")
+    parts = max(1, min(MAX_BUCKETS, lows.count() // BUCKET))
+    least = lows.repartitionByRange(parts, "min_key").withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.min("min_key").alias("lo")).collect()
+    kind = StructType([StructField("bounds", ArrayType(lows.schema["min_key"].dataType))])
+    bounds = F.broadcast(tables.sparkSession.createDataFrame([(sorted(r["lo"] for r in least),)], kind))
+
+    def bucket(key: Column) -> Column:
+        return F.size(F.filter("bounds", lambda b: b <= key))
+
+    near = tables.where("min_key IS NOT NULL AND max_key IS NOT NULL").crossJoin(bounds).withColumn("home", bucket(F.col("min_key")))
+    near = near.withColumn("last", bucket(F.col("max_key"))).withColumn("bucket", F.explode(F.sequence(F.least("home", "last"), F.greatest("home", "last"))))
+    return [near.drop("bounds", "last"), *(rows.where(F.col(c).isNotNull()).crossJoin(bounds).withColumn("bucket", bucket(F.col(c))).drop("bounds") for rows, c in others)]
+
+
 def overlap_pairs(tables: DataFrame) -> DataFrame:
     """a, b: pairs of tables (a < b) whose ranges share a key.
 
-    Tables are metadata, one row a file; this is a range join over them.
+    A pair meets in the bucket of the greater of its lower ends, and only there is it given.
     """
-    a = tables.select(F.col("table_id").alias("a"), F.col("min_key").alias("a_lo"), F.col("max_key").alias("a_hi"))
-    b = tables.select(F.col("table_id").alias("b"), F.col("min_key").alias("b_lo"), F.col("max_key").alias("b_hi"))
-    return a.join(b, (F.col("a") < F.col("b")) & overlaps(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))).select("a", "b")
+    (near,) = bucketed(tables.select("table_id", "min_key", "max_key"))
+    a = near.select("bucket", F.col("home").alias("a_home"), F.col("table_id").alias("a"), F.col("min_key").alias("a_lo"), F.col("max_key").alias("a_hi"))
+    b = near.select(F.col("bucket").alias("b_bucket"), F.col("home").alias("b_home"), F.col("table_id").alias("b"), F.col("min_key").alias("b_lo"), F.col("max_key").alias("b_hi"))
+    meet = (F.col("bucket") == F.col("b_bucket")) & (F.col("bucket") == F.greatest("a_home", "b_home")) & (F.col("a") < F.col("b"))
+    return a.join(b, meet & overlaps(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))).select("a", "b")
 
 
 def overlapping(tables: DataFrame, lo: object, hi: object) -> DataFrame:
@@ -37,12 +64,10 @@ def overlapping(tables: DataFrame, lo: object, hi: object) -> DataFrame:
 
 
 def table_for_key(keys: DataFrame, tables: DataFrame) -> DataFrame:
-    """key, table_id: the tables whose range holds each key.
-
-    Tables are metadata, one row a file: Spark broadcasts them while they
-    are below its threshold, and joins by nested loops of partitions beyond it.
-    """
-    return keys.join(tables.select("table_id", "min_key", "max_key"), (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))).select("key", "table_id")
+    """key, table_id: the tables whose range holds each key; keys meet the tables of their bucket."""
+    near, at = bucketed(tables.select("table_id", "min_key", "max_key"), (keys.select("key"), "key"))
+    near = near.withColumnRenamed("bucket", "its")
+    return at.join(near, (F.col("bucket") == F.col("its")) & (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))).select("key", "table_id")
 
 
 def split(keys: DataFrame, parts: int) -> DataFrame:

@@ -155,3 +155,24 @@ def test_engine(spark, tmp_path):
     (tmp_path / "db" / ".HEADER.json.crc").unlink()
     with pytest.raises(S.BadManifest):
         Engine(spark, str(tmp_path / "db"))
+
+
+def test_range_joins_bear_many_tables(spark):
+    from pyspark.sql import functions as F
+
+    n = 3000
+    size = lambda i: 1 + i * 7919 % 50 if i % 1000 else 4000
+    rows = [(i, i * 10, i * 10 + size(i)) for i in range(n)] + [(n, 500, 400), (n + 1, None, 5)]
+    t = spark.createDataFrame(rows, "table_id long, min_key long, max_key long")
+    pairs = ranges.overlap_pairs(t)
+    sound = [r for r in rows if r[1] is not None]
+    want = sorted((a[0], b[0]) for a in sound for b in sound if a[0] < b[0] and a[1] <= b[2] and a[2] >= b[1])
+    assert sorted(map(tuple, pairs.collect())) == want
+    keys = spark.range(0, 10 * n, 3).select(F.col("id").alias("key")).union(spark.sql("SELECT CAST(NULL AS LONG)"))
+    found = ranges.table_for_key(keys, t.where("table_id % 7 = 3"))
+    held = [r for r in sound if r[0] % 7 == 3]
+    assert sorted(map(tuple, found.collect())) == sorted((k, r[0]) for k in range(0, 10 * n, 3) for r in held if r[1] <= k <= r[2])
+    for join in (pairs, found):  # one broadcast row of bounds apart, joins are by bucket
+        plan = join._jdf.queryExecution().optimizedPlan().toString()
+        assert any("bucket" in line and "Join Inner" in line for line in plan.splitlines()), plan
+    assert ranges.overlap_pairs(t.limit(0)).count() == 0 and ranges.table_for_key(keys, t.limit(0)).count() == 0
