@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop, fresh_path, write_table
+from .common import arrow_map, cut, drop, fresh_path, write_table
 
 #: Segments of one anchor that a task takes whole.
 GROUP = 4096
@@ -234,6 +234,10 @@ def repeated_windows(texts: DataFrame, *, kind: type, k: int, w: int, mode: str,
     spare = copies.where("did > first").select("did", "th").distinct()
     whole = spare if mode == "earlier" else copies.select("did", "th").distinct()
     one = texts.join(spare, ["did", "th"], "left_anti")
+    # Rows that agree in id and text are one document, so one of them is cut up.
+    twins = cut(copies.groupBy("did", "th").agg(F.count("*").alias("rows")).where("rows > 1").select("did", "th"))
+    if not twins.isEmpty():
+        one = one.join(twins, ["did", "th"], "left_anti").unionByName(one.join(twins, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]))
 
     # 2. Segments, and the anchors that can belong to repeats.
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -323,6 +323,18 @@ def test_anchors(k, w):
     h = np.random.default_rng(k).integers(0, 4, 200, dtype=np.uint64)
     r = repeats.rolling(h, k)
     assert len(r) == 201 - k
+def test_repeated_rows_are_one_document(spark):
+    row = lambda i, t: (i, t, *[None] * 9, None)
+    extra = [row(3, PASSAGE * 4), row(3, PASSAGE * 4), row(None, PASSAGE + "null " * 40), row(None, PASSAGE + "null " * 40)]
+    once = suffix.deduplicate(fixture(spark, REPEATS, extra=extra[::2]), payload=True).collect()
+    twice = suffix.deduplicate(fixture(spark, REPEATS, extra=extra), payload=True).collect()
+    show = lambda rows: collections.Counter((r["doc_id"], bytes(r["kept"]), str(r["spans"])) for r in rows)
+    added = show(twice) - show(once)
+    assert not show(once) - show(twice) and sum(added.values()) == 2 and all(show(once)[r] == 1 for r in added)
+    kept = {r["doc_id"]: bytes(r["kept"]).decode() for r in twice if r["doc_id"] is None}
+    assert kept[None].startswith(PASSAGE)
+
+
     runs = collections.defaultdict(set)
     for i, x in enumerate(r.tolist()):
         runs[tuple(h[i : i + k].tolist())].add(x)
