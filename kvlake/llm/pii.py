@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data (operator 2).
 
 What is found, and how it is validated: e-mail addresses; phone numbers by their
-shape; card numbers (13 to 19 digits, Luhn); IBANs (mod 97); US social security numbers; IPv4
+shape (3-3-4 digits, or + and a country code); card numbers (13 to 19 digits, Luhn; also among further groups of digits); IBANs (mod 97); US social security numbers; IPv4
 addresses; calendar dates; secrets (values assigned to names such as token, and
 long hexadecimal strings). Numbers that fail their check are left alone.
 
@@ -124,12 +124,33 @@ def phone(key: bytes, m: re.Match) -> str | None:
     return head + refill(rest, permute_digits(key, "phone", _digits(rest)))
 
 
-def card(key: bytes, m: re.Match) -> str | None:
-    digits = _digits(m[0])
+def phone_abroad(key: bytes, m: re.Match) -> str | None:
+    return None if re.fullmatch(r"\+\d+\.\d+", m[0]) else phone(key, m)  # a decimal number
+
+
+def card(key: bytes, digits: str) -> str | None:
     if not 13 <= len(digits) <= 19 or luhn(digits) or not int(digits):
         return None
     body = permute_digits(key, "card", digits[:-1])
-    return refill(m[0], body + str(-luhn(body + "0") % 10))
+    return body + str(-luhn(body + "0") % 10)
+
+
+def cards(key: bytes, m: re.Match) -> list[tuple[int, int, str]]:
+    """The cards among the groups of a run of digits, as (start, end, pseudonym); of overlapping ones the longest, then the first."""
+    groups = [g.span() for g in re.finditer(r"\d+", m[0])]
+    runs = []
+    for i, (a, _) in enumerate(groups):
+        for _, b in groups[i:]:
+            digits = _digits(m[0][a:b])
+            if len(digits) > 19:
+                break
+            if (new := card(key, digits)) is not None:
+                runs.append((-len(digits), a, b, refill(m[0][a:b], new)))
+    out: list[tuple[int, int, str]] = []
+    for _, a, b, new in sorted(runs):
+        if all(b <= x - m.start() or y - m.start() <= a for x, y, _ in out):
+            out.append((m.start() + a, m.start() + b, new))
+    return out
 
 
 def iban(key: bytes, m: re.Match) -> str | None:
@@ -207,14 +228,17 @@ def hexadecimal(key: bytes, m: re.Match) -> str | None:
     return secret(key, m) if re.search("[0-9]", m[0]) and re.search("[a-fA-F]", m[0]) else None
 
 
-#: kind, pattern, pseudonym; earlier kinds take what they match.
-KINDS: list[tuple[str, str, Callable[[bytes, re.Match], str | None]]] = [
+#: Country codes; all others have three digits.
+_COUNTRY = r"(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: kind, pattern, pseudonym (of the match, or spans in it); earlier kinds take what they match.
+KINDS: list[tuple[str, str, Callable[[bytes, re.Match], str | list[tuple[int, int, str]] | None]]] = [
     ("email", r"(?<![\w.+%-])[\w.+%-]*\w@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w])", email),
     ("secret", r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b)\W{0,8}[=:]\W{0,8}(?P<value>[A-Za-z0-9_+/\-]{8,})", secret),
     ("hex", r"(?<![\w])(?P<value>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\w])", hexadecimal),
     ("iban", r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])", iban),
-    ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", card),
+    ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,}(?![\w-])", cards),
     ("phone", r"(?<![\w.])(?P<cc>\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?![\w])", phone),
+    ("phone", rf"(?<![\w.+])(?P<cc>\+{_COUNTRY}[ .-]?)\(?\d(?:\)?[ .-]?\(?\d){{5,12}}(?![\w])", phone_abroad),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)", ipv4),
     ("date_ymd", r"(?<![\w./-])\d{4}([-./])\d{1,2}\1\d{1,2}(?![\w/-])", date_ymd),
@@ -238,9 +262,10 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
             if any(a < y and x < b for x, y, _ in spans):
                 continue
             new = pseudonym(key, m)
-            if new is not None:
-                spans.append((a, b, new))
-                found[kind] = found.get(kind, 0) + 1
+            if new:
+                new = [(a, b, new)] if isinstance(new, str) else new
+                spans += new
+                found[kind] = found.get(kind, 0) + len(new)
     if not spans:
         return text, found
     out, at = [], 0

@@ -93,6 +93,33 @@ def test_pii_keeps_formats_and_links():
     assert pii.pseudonymise(clean) == (clean, {})
 
 
+@pytest.mark.parametrize("text", ["card 4242424242424242 123", "4242 4242 4242 4242 12/27", "order 17 4242 4242 4242 4242", "17 18 4242 4242 4242 4242 19", "4242-4242-4242-4242 4012888888881881"])
+def test_cards_beside_other_digits(text):
+    new, found = pii.pseudonymise(text)
+    assert found["card"] >= 1 and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+    for old in ("4242424242424242", "4012888888881881"):
+        assert old not in re.sub("[ -]", "", new)
+
+
+def test_cards_beside_other_digits_leave_invalid_runs():
+    tails = [n for n in range(100, 130) if pii.luhn(f"4242424242424241{n}")]
+    assert len(tails) > 20
+    for text in [f"card 4242424242424241 {n}" for n in tails] + ["1" * 40]:
+        assert pii.pseudonymise(text) == (text, {})
+
+
+@pytest.mark.parametrize("number", ["+44 20 7946 0958", "+33 1 42 68 53 00", "+15551234567", "+49 (0)30 1234567", "+1 555 123 4567", "+358-9-1234567"])
+def test_phones_abroad(number):
+    new, found = pii.pseudonymise(f"call {number}, please")
+    assert found == {"phone": 1} and number not in new and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {number}, please")
+    assert new[5:7] == number[:2] and pii.pseudonymise(f"x {number}")[0].split(" ", 1)[1] == new[5:-8]
+
+
+def test_numbers_that_are_no_phones():
+    for text in ("+1.4142135623", "+12 345", "1+15551234567890123", "c++15551234567"):
+        assert "phone" not in pii.pseudonymise(text)[1], text
+
+
 def test_feistel_is_a_permutation():
     for radix, length in ((10, 1), (10, 2), (10, 3), (2, 9), (26, 2)):
         n = radix**length
