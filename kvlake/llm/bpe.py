@@ -23,6 +23,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+import re
+from array import array
 from itertools import chain
 
 import pyarrow as pa
@@ -201,7 +203,7 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
 
-        A text is cut before each space that stands alone; as the pattern
+        A text is cut before each space that has no other white space beside it; as the pattern
         lets no match run across such a place, a chunk met before needs no matching.
         """
         if len(self.known) > CACHE_ENTRIES:
@@ -244,12 +246,12 @@ class Codec:
 
 
 def _chunks(text: str) -> list[str]:
-    """`text` cut before each space; whole if white space of two or more places makes the cut unsure."""
+    """`text` cut before each space that stands between two other characters that are not white space."""
     if not text:
         return []
-    if "  " in text:
-        return [text]
-    first, *rest = text.split(" ")
+    first, *rest = held = text.split(" ")
+    if "  " in text or list(map(str.strip, held)) != held:  # a space beside other white space: one match can take both
+        return _between.split(text)
     return [c for c in (first, *[f" {c}" for c in rest]) if c]
 
 
@@ -272,6 +274,9 @@ def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
             lo, held = hi, 0
         held += n
     if held or hi >= lo:
+_between = re.compile(r"(?<=\S)(?= \S)")
+
+
         yield lo, hi + 1
 
 

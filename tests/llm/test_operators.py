@@ -323,6 +323,18 @@ def test_long_strings_that_occur_earlier(spark, induced_):
     assert suffix.deduplicate(fixture(spark, EMPTY)).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    row = lambda i, t: (i, t, *[None] * 9, None)
+    extra = [row(3, PASSAGE * 4), row(3, PASSAGE * 4), row(None, PASSAGE + "null " * 40), row(None, PASSAGE + "null " * 40)]
+    once = suffix.deduplicate(fixture(spark, REPEATS, extra=extra[::2]), payload=True).collect()
+    twice = suffix.deduplicate(fixture(spark, REPEATS, extra=extra), payload=True).collect()
+    show = lambda rows: collections.Counter((r["doc_id"], bytes(r["kept"]), str(r["spans"])) for r in rows)
+    added = show(twice) - show(once)
+    assert not show(once) - show(twice) and sum(added.values()) == 2 and all(show(once)[r] == 1 for r in added)
+    kept = {r["doc_id"]: bytes(r["kept"]).decode() for r in twice if r["doc_id"] is None}
+    assert kept[None].startswith(PASSAGE)
+
+
 def test_repeated_word_windows(spark):
     extra = [(50, TEXTS[18], *[None] * 9, None), (50, "short", *[None] * 9, None), (None, TEXTS[2], *[None] * 9, None)]
     rows = [*enumerate(REPEATS), *((r[0], r[1]) for r in extra)]
@@ -350,18 +362,6 @@ def test_anchors(k, w):
     h = np.random.default_rng(k).integers(0, 4, 200, dtype=np.uint64)
     r = repeats.rolling(h, k)
     assert len(r) == 201 - k
-def test_repeated_rows_are_one_document(spark):
-    row = lambda i, t: (i, t, *[None] * 9, None)
-    extra = [row(3, PASSAGE * 4), row(3, PASSAGE * 4), row(None, PASSAGE + "null " * 40), row(None, PASSAGE + "null " * 40)]
-    once = suffix.deduplicate(fixture(spark, REPEATS, extra=extra[::2]), payload=True).collect()
-    twice = suffix.deduplicate(fixture(spark, REPEATS, extra=extra), payload=True).collect()
-    show = lambda rows: collections.Counter((r["doc_id"], bytes(r["kept"]), str(r["spans"])) for r in rows)
-    added = show(twice) - show(once)
-    assert not show(once) - show(twice) and sum(added.values()) == 2 and all(show(once)[r] == 1 for r in added)
-    kept = {r["doc_id"]: bytes(r["kept"]).decode() for r in twice if r["doc_id"] is None}
-    assert kept[None].startswith(PASSAGE)
-
-
     runs = collections.defaultdict(set)
     for i, x in enumerate(r.tolist()):
         runs[tuple(h[i : i + k].tolist())].add(x)
@@ -522,3 +522,16 @@ def test_long_words_equal_tiktoken():
     texts += ["".join(r.choice(["the", "tion", "ing", "und", "sch", "er", "en", "xq"]) for _ in range(100)) for _ in range(20)]
     for t, ids in zip(texts, c.encode_all(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t), t[:40]
+
+
+def test_mixed_white_space_equals_tiktoken():
+    import itertools
+
+    import tiktoken
+
+    c = bpe.Codec(bpe.default_ranks(), bpe.default_pattern())
+    enc = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=c.ranks, special_tokens={})
+    texts = ["a" + "".join(x) + "b c" for n in range(1, 5) for x in itertools.product(" \u00a0\n\t\u3000", repeat=n)]
+    texts += [t.strip("abc") for t in texts] + ["one two  three \x1c four\r\n five ", " x", "x ", "x \n", "it 's  'll"]
+    for t, ids in zip(texts, c.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t), repr(t)
