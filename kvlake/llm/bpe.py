@@ -15,16 +15,18 @@ then forgotten; that bounds memory and changes no result.
 
 Defined results: a null text counts as empty and has no ids; any text
 round-trips; repeated rows give equal rows; other columns are not read. Matches of
-LONG bytes or more contract in one step all places that one at a time would contract in turn.
+LONG bytes or more contract in one step all places that one at a time would contract in turn; those of HUGE
+bytes or more, whose steps and rows would be too many for a recursive query, contract by a heap of pairs. All give the same ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
 import re
 from array import array
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
@@ -123,8 +125,9 @@ WITH RECURSIVE t(step, k, tok) AS (
 )
 """
 _RESULT = _STEPS[_STEPS.index("SELECT t.k >> 22") :]
-#: Bytes from which a word counts as long.
+#: Bytes from which a word counts as long, and from which it is contracted outside DuckDB.
 LONG = 64
+HUGE = 1 << 20
 
 
 class Codec:
@@ -148,6 +151,7 @@ class Codec:
         self._store("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "id_hex": [r.to_bytes(4, "little").hex() for r in self.ranks.values()], "bytes_hex": [t.hex() for t in self.ranks]}))
         self.bytes_of = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.known: dict[str, bytes] = {}
+        self.pairs: dict[int, int] | None = None  # for _merge_one, made when needed
         self.groups: dict[bytes, bytes] = {}
         self.opens = np.zeros(max(self.ranks.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[r for t, r in self.ranks.items() if t[:1] == b" "]] = True
@@ -161,13 +165,11 @@ class Codec:
         """The ids of each of some distinct words, by recursive queries until fixpoint."""
         import numpy as np
 
-        out = [b""] * len(words)
-        word = np.arange(len(words))
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        tokens = self.bytes_of[np.frombuffer(b"".join(words), np.uint8)]
+        out = [self._merge_one(w) if len(w) >= HUGE else b"" for w in words]
+        word = np.array([i for i, w in enumerate(words) if len(w) < HUGE], np.int64)
+        lengths = np.fromiter((len(words[i]) for i in word), np.int64, len(word))
+        tokens = self.bytes_of[np.frombuffer(b"".join(words[i] for i in word), np.uint8)]
         while len(word):
-            if lengths.max() >= 1 << 22:
-                raise ValueError("a match of the pattern has 4 MiB or more")
             steps = max(8, min(int(lengths.max()), ROUND_ROWS // len(tokens)))
             places = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             self._store("start", pa.table({"k": np.repeat(word, lengths) << 22 | places, "tok": tokens}))
@@ -185,6 +187,33 @@ class Codec:
             tokens = np.frombuffer(b"".join(ids for _, ids in again), "<u4").astype(np.int64)
         return out
 
+    def _merge_one(self, word: bytes) -> bytes:
+        """The ids of one word by a heap of its pairs: each step costs the logarithm of the pairs, not all rows."""
+        import numpy as np
+
+        if self.pairs is None:
+            self.pairs = dict(self.con.sql("SELECT pair, id FROM merges").fetchall())
+        pairs, n = self.pairs, len(word)
+        tokens = array("q", self.bytes_of[np.frombuffer(word, np.uint8)].tobytes())
+        before, after = array("q", range(-1, n - 1)), array("q", range(1, n + 1))
+        heap = [id_ << 40 | i for i in range(n - 1) if (id_ := pairs.get(tokens[i] << 24 | tokens[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            best = heappop(heap)
+            i, id_ = best & (1 << 40) - 1, best >> 40
+            if tokens[i] < 0 or (j := after[i]) == n or pairs.get(tokens[i] << 24 | tokens[j]) != id_:
+                continue  # one of its tokens has been contracted since
+            tokens[i], tokens[j] = id_, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (new := pairs.get(id_ << 24 | tokens[k])) is not None:
+                    heappush(heap, new << 40 | i)
+            if (k := before[i]) >= 0 and (new := pairs.get(tokens[k] << 24 | id_)) is not None:
+                heappush(heap, new << 40 | k)
+        left = np.frombuffer(tokens, np.int64)
+        return left[left >= 0].astype("<u4").tobytes()
+
     def learn(self, pieces: Iterable[str]) -> None:
         """Adds distinct matches to `known`: their ids as little-endian 32-bit integers."""
         new: list[tuple[str, bytes]] = []
@@ -245,6 +274,9 @@ class Codec:
         return [b"".join(map(get, c)) for c in cut]
 
 
+_between = re.compile(r"(?<=\S)(?= \S)")
+
+
 def _chunks(text: str) -> list[str]:
     """`text` cut before each space that stands between two other characters that are not white space."""
     if not text:
@@ -274,9 +306,6 @@ def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
             lo, held = hi, 0
         held += n
     if held or hi >= lo:
-_between = re.compile(r"(?<=\S)(?= \S)")
-
-
         yield lo, hi + 1
 
 

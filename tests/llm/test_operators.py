@@ -535,3 +535,17 @@ def test_mixed_white_space_equals_tiktoken():
     texts += [t.strip("abc") for t in texts] + ["one two  three \x1c four\r\n five ", " x", "x ", "x \n", "it 's  'll"]
     for t, ids in zip(texts, c.encode_all(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t), repr(t)
+
+
+def test_huge_words(monkeypatch):
+    import random
+
+    c, r = bpe.Codec(bpe.default_ranks(), bpe.default_pattern()), random.Random(2)
+    words = ["".join(r.choice(r.choice(["ab", "etaoinshrdlu", "aeéèß"])) for _ in range(n)).encode() for n in (70, 400, 3000)] + [b"a" * 1001, b"ab" * 300]
+    want = c.merge(words)
+    monkeypatch.setattr(bpe, "HUGE", 64)
+    assert c.merge(words) == want
+    monkeypatch.undo()
+    text = "the" * (1 << 19) + "a" * (3 << 20)  # over 4 MiB without a break
+    (ids,) = c.encode_all([text])
+    assert c.decode_all([ids]) == [text.encode()] and len(ids) // 4 < len(text) // 2
