@@ -60,9 +60,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+#: Bytes of an Arrow batch that a Python worker gets; by Spark's own limit of 10,000 rows long texts would fill its memory.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """mapInArrow with this subpackage at hand in the workers."""
-    ship(df.sparkSession)
+    """mapInArrow with this subpackage at hand in the workers, in batches of BATCH_BYTES unless the session says otherwise."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
