@@ -10,9 +10,9 @@ equal anchors (winnowing), and a text falls into segments: maximal runs of windo
 3. Those segments fetch their symbols. Equal ones are counted with partial
    sums before anything is grouped, so a passage that a third of all documents share is
    one segment with a count from here on.
-4. Different segments with one anchor meet in a task, which extends them from the
-   anchor both ways to whole windows and compares these symbol by symbol. Anchors with more than GROUP
-   segments are dealt to several tasks, each of which takes a share of the windows.
+4. Different segments with one anchor meet in a task, which finds their repeated windows by the
+   operator's method: sorting of suffixes, or extension of the anchor both ways. Anchors with more than GROUP segments, which
+   would be too much for a task, give out their windows, and equal ones are counted with partial sums.
 
 The outcome of a text is the list of window starts that are repeats: of an earlier
 window (`mode` "earlier") or of any other ("any").
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, cut, drop, fresh_path, write_table
 
 #: Segments of one anchor that a task takes whole.
-GROUP = 4096
-#: Bytes of segments that are sorted together.
-SHARD = 1 << 20
+GROUP = 512
+#: Bytes of segments that are compared together, about; groups stay whole.
+SHARD = 4 << 20
 #: Stands for a null id: before all others.
 NO_ID = -(2**63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -64,6 +64,14 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def anchor_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash that makes a run of k symbols an anchor, at each place."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        return _mix(rolling(h, k))
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     width = 1
     while width * 2 <= w:
@@ -77,8 +85,7 @@ def segments(h: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.
     none = np.zeros(0, np.int64)
     if len(h) < k + w - 1:
         return none, none, none.view(np.uint64), none.astype(bool)
-    with np.errstate(over="ignore"):
-        x = _mix(rolling(h, k))
+    x = anchor_hashes(h, k)
     m = sliding_min(x, w)
     cut_ = np.flatnonzero(m[1:] != m[:-1]) + 1
     starts = np.concatenate([[0], cut_])
@@ -91,8 +98,6 @@ def segments(h: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.
 class Bytes:
     """Texts as bytes."""
 
-    join = b""
-
     def symbols(self, text: bytes) -> bytes:
         return text
 
@@ -105,9 +110,6 @@ class Bytes:
     def unpack(self, part: bytes) -> bytes:
         return part
 
-    def key(self, part: bytes) -> bytes:
-        return part
-
 
 class Words:
     """Texts as words `[^\\x20\\x09-\\x0D]+` of UTF-8."""
@@ -121,7 +123,7 @@ class Words:
     def hashes(self, words: list[bytes]) -> np.ndarray:
         from xxhash import xxh64_intdigest
 
-        if len(self.seen) > 500_000:
+        if len(self.seen) > 200_000:
             self.seen = {}
         for x in set(words).difference(self.seen):
             self.seen[x] = xxh64_intdigest(x)
@@ -133,9 +135,6 @@ class Words:
     def unpack(self, part: bytes) -> list[bytes]:
         return part.split(b" ")
 
-    def key(self, part: list[bytes]) -> bytes:
-        return b" ".join(part)
-
 
 _units: dict[type, Bytes | Words] = {}
 
@@ -175,55 +174,19 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...]) -> Iterat
         yield held
 
 
-def earlier(parts: list, counts: list[int], window: int, key: Callable, mine: Callable[[bytes], bool]) -> list[list[int]]:
-    """Window starts of each segment that repeat a window of a segment before, or an earlier one of its own."""
-    seen: set[bytes] = set()
-    out = []
-    for p in parts:
-        hit = []
-        for s in range(len(p) - window + 1):
-            x = key(p[s : s + window])
-            if mine(x):
-                if x in seen:
-                    hit.append(s)
-                else:
-                    seen.add(x)
-        out.append(hit)
-    return out
-
-
-def anywhere(parts: list, counts: list[int], window: int, key: Callable, mine: Callable[[bytes], bool]) -> list[list[int]]:
-    """Window starts of each segment whose window starts anywhere else too."""
-    seen: dict[bytes, tuple[int, int] | None] = {}
-    out: list[list[int]] = [[] for _ in parts]
-    for n, p in enumerate(parts):
-        for s in range(len(p) - window + 1):
-            x = key(p[s : s + window])
-            if not mine(x):
-                continue
-            if x not in seen:
-                seen[x] = (n, s)
-                if counts[n] > 1:
-                    out[n].append(s)
-                    seen[x] = None
-            else:
-                if (first := seen[x]) is not None:
-                    out[first[0]].append(first[1])
-                    seen[x] = None
-                out[n].append(s)
-    return [sorted(set(x)) for x in out]
-
-
 def _with_end(items: Iterator) -> Iterator:
     yield from items
     yield None
 
 
-def repeated_windows(texts: DataFrame, *, kind: type, k: int, w: int, mode: str, whole_groups: Callable[[list[bytes], int], list[list[int]]] | None = None) -> DataFrame:
+#: Finds the repeated windows in whole groups of segments: (anchor of each, its symbols, window) to window starts of each, ascending.
+Finder = Callable[[np.ndarray, list[bytes], int], list[list[int]]]
+
+
+def repeated_windows(texts: DataFrame, *, kind: type, k: int, w: int, mode: str, find: Finder) -> DataFrame:
     """did, th, whole, starts of the texts that have repeated windows.
 
-    texts: did, th, text. whole_groups finds repeats of earlier windows in a list of segments, the
-    groups of several anchors at once. whole: all windows of the text are repeats; else the
+    texts: did, th, text. find gets the segments of some anchors in the order of their texts and places. whole: all windows of the text are repeats; else the
     places in `starts` (packed int64 pairs: first window, windows) are.
     """
     window = k + w - 1
@@ -290,43 +253,57 @@ def repeated_windows(texts: DataFrame, *, kind: type, k: int, w: int, mode: str,
     all_of = marked.where(~F.col("leads") if mode == "earlier" else F.col("times") > 1)
     full = all_of.select("did", "th", F.shiftright("place", 32).alias("start"), F.shiftright(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), 1).alias("n"))
     leaders = marked.where("leads").select("anchor", "did", "th", "place", "content", "times")
-    groups = leaders.groupBy("anchor").agg(F.count("*").alias("size"), F.max(F.col("place").bitwiseAND(F.lit(1).cast("long"))).alias("twice")).where("size > 1 OR twice = 1").select(F.col("anchor").alias("of"), F.ceil(F.col("size") / F.lit(GROUP)).cast("int").alias("shares"))
-    dealt = leaders.join(groups, F.col("anchor") == F.col("of")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    dealt = dealt.select("anchor", "share", "shares", "did", "th", "place", "content", "times").repartition("anchor", "share").sortWithinPartitions("anchor", "share", "did", "th", "place")
+    sizes = leaders.groupBy("anchor").agg(F.count("*").alias("size"), F.max(F.col("place").bitwiseAND(F.lit(1).cast("long"))).alias("twice")).where("size > 1 OR twice = 1")
+    groups = cut(sizes.select(F.col("anchor").alias("of"), (F.col("size") > GROUP).alias("hot")))
+    of_group = lambda hot: leaders.join(groups.where(F.col("hot") == hot), F.col("anchor") == F.col("of")).select("anchor", "did", "th", "place", "content")
+    dealt = of_group(False).repartition("anchor").sortWithinPartitions("anchor")
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh32_intdigest
-
-        unit, compare = unit_of(kind), earlier if mode == "earlier" else anywhere
-        rows: list[tuple[int, int, int, int]] = []
-        shard: list[tuple] = []  # whole groups whose segments are sorted together
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: list[tuple] = []  # whole groups
         size = 0
-        for t in _with_end(_runs(batches, (0, 1))):
+        for t in _with_end(_runs(batches, (0,))):
             if t is not None:
-                _, share, shares, did, th, place, content, times = (t.column(i).to_pylist() for i in range(8))
-                if whole_groups is not None and shares[0] == 1:
-                    shard += zip(did, th, place, content, strict=True)
-                    size += sum(map(len, content))
-                else:
-                    mine = (lambda x: True) if shares[0] == 1 else (lambda x, s=share[0], n=shares[0]: xxh32_intdigest(x) % n == s)
-                    hits = compare([unit.unpack(c) for c in content], times, window, unit.key, mine)
-                    for d, h, p, hit in zip(did, th, place, hits, strict=True):
-                        rows += [(d, h, (p >> 32) + a, n) for a, n in spans(hit)]
+                shard += zip(*(t.column(i).to_pylist() for i in (1, 2, 3, 0, 4)), strict=True)
+                size += sum(len(x[4]) for x in shard[-t.num_rows :])
             if shard and (t is None or size >= SHARD):
                 shard.sort(key=lambda x: x[:3])
-                for (d, h, p, _), hit in zip(shard, whole_groups([x[3] for x in shard], window), strict=True):
-                    rows += [(d, h, (p >> 32) + a, n) for a, n in spans(hit)]
+                hits = find(np.array([x[3] for x in shard], np.int64).view(np.uint64), [x[4] for x in shard], window)
+                rows = [(x[0], x[1], (x[2] >> 32) + a, n) for x, hit in zip(shard, hits, strict=True) for a, n in spans(hit)]
+                if rows:
+                    yield _rows(rows)
                 shard, size = [], 0
-            if rows and (t is None or len(rows) > 50_000):
-                yield _rows(rows)
-                rows = []
 
-    some = arrow_map(dealt, extend, "did long, th long, start long, n long")
+    some = arrow_map(dealt, compare, "did long, th long, start long, n long")
+    if not groups.where("hot").isEmpty():
+        some = some.union(_hot(of_group(True), kind, window, mode))
     places = full.union(some).groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
     found = places.join(whole.withColumn("whole", F.lit(True)), ["did", "th"], "full_outer") if mode == "any" else places.withColumn("whole", F.lit(False)).unionByName(whole.select("did", "th", F.lit(None).cast("array<struct<start:bigint,n:bigint>>").alias("starts"), F.lit(True).alias("whole")))
     return found.select("did", "th", F.coalesce("whole", F.lit(False)).alias("whole"), "starts")
 
 
+def _hot(segments_: DataFrame, kind: type, window: int, mode: str) -> DataFrame:
+    """The repeated windows of anchors with many segments: windows meet by a hash of 128 bits, however many are equal."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        unit = unit_of(kind)
+        for batch in batches:
+            for did, th, place, content in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                part = unit.unpack(content)
+                for lo in range(0, len(part) - window + 1, 1 << 16):
+                    n = min(1 << 16, len(part) - window + 1 - lo)
+                    h = np.frombuffer(b"".join(xxh3_128_digest(unit.pack(part[i : i + window])) for i in range(lo, lo + n)), np.int64).reshape(-1, 2)
+                    start = np.arange((place >> 32) + lo, (place >> 32) + lo + n)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(n, did)), pa.array(np.full(n, th)), pa.array(start)], ["w1", "w2", "did", "th", "start"])
+
+    every = store(arrow_map(segments_, windows, "w1 long, w2 long, did long, th long, start long"), "windows")
+    at = F.struct("did", "th", "start")
+    sums = every.groupBy("w1", "w2").agg(F.count("*").alias("times"), F.min(at).alias("first")).where("times > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"), "first")
+    hits = every.join(sums, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")))
+    return (hits.where(at != F.col("first")) if mode == "earlier" else hits).select("did", "th", "start", F.lit(1).cast("long").alias("n"))
+
+
 def _rows(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["did", "th", "start", "n"])
 
@@ -357,9 +334,9 @@ def covered(n: int, window: int, whole: bool | None, starts: list[dict] | None)
     return out
 
 
-def strip(docs: DataFrame, run: Callable, schema: str, *, id_col: str, text_col: str, kind: type, k: int, w: int, mode: str, whole_groups: Callable | None = None) -> DataFrame:
+def strip(docs: DataFrame, run: Callable, schema: str, *, id_col: str, text_col: str, kind: type, k: int, w: int, mode: str, find: Finder) -> DataFrame:
     """`run` over (id, text, whole, starts) of every document."""
     texts = keyed(docs, id_col, text_col)
-    found = repeated_windows(texts, kind=kind, k=k, w=w, mode=mode, whole_groups=whole_groups)
+    found = repeated_windows(texts, kind=kind, k=k, w=w, mode=mode, find=find)
     joined = texts.join(found, ["did", "th"], "left").select(F.when(F.col("did") != NO_ID, F.col("did")).alias("id"), "text", "whole", "starts")
     return arrow_map(joined, run, schema)

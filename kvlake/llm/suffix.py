@@ -3,15 +3,14 @@
 A byte goes if a string of `length` bytes that covers it also starts earlier: in a
 document of smaller id, or before in the same one. Strings are judged on the input.
 
-Repeats are found among segments of the texts that can hold any (module repeats). With
-`induced` the segments of a shard are joined, their suffixes sorted by external induced sorting (module
-induced), and neighbours in that order that agree in `length` bytes form classes, of which the
-earliest start stays; without it the windows of an anchor's segments are compared
-in hash tables. Both give the same rows; README.md has the figures that decide the default.
+Repeats are found among segments of the texts that can hold any (module repeats). The
+segments of a shard are joined and their suffixes sorted by external induced sorting (module
+induced), which gives each its common prefix with the one before; neighbours that share
+`length` bytes form classes, of which the earliest start stays.
 
 Defined results: a null text is empty; strings do not cross documents; texts shorter than
 `length` stay; rows with a null id come before all others; rows that agree in id and text count
-as one document; an empty table gives none.
+as one document; a text of any length is one string, sorted on disk where it exceeds memory; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -32,32 +31,29 @@ LENGTH = 100
 ANCHOR = 32
 
 
-def later_windows(parts: list[bytes], window: int) -> list[list[int]]:
+def later_windows(anchors: np.ndarray | None, parts: list[bytes], window: int) -> list[list[int]]:
     """The window starts of each part whose bytes also start before: in a part before it, or earlier in its own."""
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1)
-    symbols = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.int64) + 2
+    symbols = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.int32) + 2
     symbols[ends - 1] = 1  # ends of parts; no window crosses one
-    part = np.repeat(np.arange(len(parts)), lengths + 1)
-    order = suffix_array(np.concatenate([symbols, [0]]))[1:]
-    order = order[(ends - 1)[part[order]] - order >= window]
-    if len(order) < 2:
-        return [[] for _ in parts]
-    same = np.zeros(len(order), bool)
-    reach = np.arange(window)
-    for lo in range(1, len(order), 20_000):
-        now = order[lo : lo + 20_000, None] + reach
-        same[lo : lo + 20_000] = (symbols[now] == symbols[order[lo - 1 : lo - 1 + len(now), None] + reach]).all(axis=1)
-    starts = np.flatnonzero(~same)
-    first = np.minimum.reduceat(order, starts)  # parts stand in order, so the least place is the earliest
-    later = np.sort(order[order != np.repeat(first, np.diff([*starts, len(order)]))])
+    part = np.repeat(np.arange(len(parts), dtype=np.int32), lengths + 1)
+    order, prefix = suffix_array(np.concatenate([symbols, [0]]), cap=window)
+    order, prefix = order[1:], prefix[1:]
+    # Windows that cross an end differ from all that don't, so a class has one kind only.
+    starts = np.flatnonzero(prefix < window)
+    many = np.diff(np.append(starts, len(order))) > 1
+    in_class = np.repeat(many, np.diff(np.append(starts, len(order))))
+    first = np.repeat(np.minimum.reduceat(order, starts), np.diff(np.append(starts, len(order)))) if len(order) else order
+    # Parts stand in order, so the least place is the earliest.
+    later = np.sort(order[in_class & (order != first) & ((ends - 1)[part[np.minimum(order, len(part) - 1)]] - order >= window)])
     out: list[list[int]] = [[] for _ in parts]
     for n, p in zip(part[later].tolist(), (later - (ends - lengths - 1)[part[later]]).tolist(), strict=True):
         out[n].append(p)
     return out
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, payload: bool = False, induced: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, payload: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; with `payload` also kept (the bytes left) and spans (start, end of what went)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +71,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * payload
     kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))][: len(names) - 4]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * payload
-    return repeats.strip(docs, run, schema, id_col=id_col, text_col=text_col, kind=repeats.Bytes, k=min(ANCHOR, length), w=length - min(ANCHOR, length) + 1, mode="earlier", whole_groups=later_windows if induced else None)
+    return repeats.strip(docs, run, schema, id_col=id_col, text_col=text_col, kind=repeats.Bytes, k=min(ANCHOR, length), w=length - min(ANCHOR, length) + 1, mode="earlier", find=later_windows)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

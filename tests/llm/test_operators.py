@@ -304,9 +304,8 @@ def marked(n, places, window):
 REPEATS = [*TEXTS, TEXTS[18][500:900] + TEXTS[0][:200], ("ab" * 300)[:250], "q" + PASSAGE]
 
 
-@pytest.mark.parametrize("induced_", [False, True])
-def test_long_strings_that_occur_earlier(spark, induced_):
-    got = by_id(suffix.deduplicate(fixture(spark, REPEATS), payload=True, induced=induced_))
+def test_long_strings_that_occur_earlier(spark):
+    got = by_id(suffix.deduplicate(fixture(spark, REPEATS), payload=True))
     seen: set = set()
     for i, t in enumerate(REPEATS):
         b, places = (t or "").encode(), []
@@ -349,7 +348,7 @@ def test_repeated_word_windows(spark):
     assert substr.deduplicate(fixture(spark, EMPTY)).count() == 0
 
 
-def test_hot_anchors_are_shared_out(spark, monkeypatch):
+def test_hot_anchors_give_out_their_windows(spark, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP", 3)
     texts = [f"x{i} " + PASSAGE + f" y{i} z{i}" for i in range(20)]
     assert {r["n_removed"] for r in substr.deduplicate(fixture(spark, texts)).collect()} == {60}
@@ -479,10 +478,16 @@ def test_mix(spark):
 def test_induced_sorting(budget):
     rng = np.random.default_rng(budget)
     for n in (0, 1, 2, 5, 40, 300):
-        for top in (2, 3, 200):
-            t = np.concatenate([rng.integers(1, top, n), [0]])
-            assert induced.suffix_array(t, budget=budget).tolist() == sorted(range(n + 1), key=lambda i: t[i:].tolist())
-            parts = [bytes(t[:-1][a : a + 25].astype(np.uint8)) for a in range(0, n, 25)]
+        for top in (2, 3, 200, 90_000):
+            for cap in (0, 3, 300):
+                t = np.concatenate([rng.integers(1, top, n), [0]])
+                t[n // 3 : n // 3 * 2] = t[: n // 3]  # a long repeat
+                order, prefix = induced.suffix_array(t, cap=cap, budget=budget)
+                assert order.tolist() == sorted(range(n + 1), key=lambda i: t[i:].tolist())
+                for a, b, x in zip(order, order[1:], prefix[1:], strict=False):
+                    share = next(i for i in range(n + 1) if t[a + i] != t[b + i])
+                    assert x == min(cap, share)
+            parts = [bytes((t[:-1][a : a + 25] % 7).astype(np.uint8)) for a in range(0, n, 25)]
             seen, want = set(), []
             for p in parts:
                 want.append([])
@@ -490,23 +495,40 @@ def test_induced_sorting(budget):
                     if p[i : i + 3] in seen:
                         want[-1].append(i)
                     seen.add(p[i : i + 3])
-            assert suffix.later_windows(parts, 3) == want
+            assert suffix.later_windows(None, parts, 3) == want
 
 
 def test_disk_queue(tmp_path):
     rng = np.random.default_rng(0)
-    q, held, got = induced.DiskQueue(tmp_path, 8), [], []
-    for x in rng.integers(0, 1000, 500).tolist():
-        q.push(x)
-        held.append(x)
-        if x % 3 == 0:
-            got.append(q.pop())
-            held.sort()
-            assert got[-1] == held.pop(0)
-    while q.least() is not None:
-        assert q.pop() == min(held)
-        held.remove(min(held))
-    assert not held and not list(tmp_path.iterdir())
+    q = induced.DiskQueue(tmp_path, 8, (np.dtype(np.int32), np.dtype(np.uint8)), 30)
+    held: dict[int, list] = collections.defaultdict(list)
+    for r in range(30):
+        for _ in range(3):
+            ranges = np.sort(rng.integers(r, 30, 5))
+            rows = rng.integers(0, 200, 5)
+            q.push(ranges, (rows.astype(np.int32), rows.astype(np.uint8)))
+            for a, b in zip(ranges.tolist(), rows.tolist(), strict=True):
+                held[a].append(b)
+        a, b = q.take(r)
+        assert a.tolist() == b.tolist() == held.pop(r, [])
+    assert not held and list(tmp_path.iterdir())
+
+
+def test_extension_both_ways():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        texts = [[b"%d" % x for x in rng.integers(0, 3, rng.integers(5, 40))] for _ in range(6)]
+        texts[1][3:] = texts[0][:20]
+        rows = []  # the segments that share an anchor
+        unit = repeats.Words()
+        for n, w in enumerate(texts):
+            for start, size, anchor, _ in zip(*repeats.segments(unit.hashes(w), 3, 4), strict=True):
+                rows.append((int(anchor), n, int(start), w[start : start + size + 5]))
+        rows.sort(key=lambda r: r[0])
+        got = substr.extended(np.array([r[0] for r in rows], np.uint64), [b" ".join(r[3]) for r in rows], 6, 3)
+        count = collections.Counter(tuple(w[i : i + 6]) for w in texts for i in range(len(w) - 5))
+        for (_, _, _, part), hit in zip(rows, got, strict=True):
+            assert hit == [i for i in range(len(part) - 5) if count[tuple(part[i : i + 6])] > 1]
 
 
 def test_long_words_equal_tiktoken():
