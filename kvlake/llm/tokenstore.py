@@ -6,6 +6,10 @@ zeros), then the raw ids, little-endian, two bytes each if the vocabulary allows
 task writes under names of its own attempt, and only finished tasks' names
 enter the tables, so a lost executor leaves unused files but no wrong ones.
 
+The folder is the store: beside the shards it holds `entries` (a row a document), `shards` (a row a shard), `index` (a row a
+bucket, in order of buckets and in small row groups) and, written last, `STORE.json`. `Store.open` reads it in any session;
+`Store.get` answers for one key from the row group that holds its bucket and one range of a shard.
+
 Index: a key is (doc_id, occurrence), so repeated ids stay apart. Keys are dealt
 to buckets of about BUCKET_KEYS by hash; each bucket has a minimal perfect hash
 (hash and displace: groups of keys get the first displacement that puts all into free
@@ -16,8 +20,8 @@ Reading back goes through the index: keys find their slots, and each shard is re
 by the task that has its slots, in order.
 
 Defined results: a null text counts as empty, so it has the end id only; rows with a null doc_id come first;
-rows of one doc_id follow each other by text; an empty table gives none. Strings that name special
-tokens are ordinary text.
+rows of one doc_id follow each other by text, and so are told apart by their occurrence; a text of any length is one
+document of one shard; an empty table gives none. Strings that name special tokens are those tokens, as the library has it.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, fresh_path, open_store, table
+from .common import arrow_map, fresh_path, open_store, table, write_table
 
 MAGIC = b"KVTOKEN1"
 HEADER = "<8sHxxxxxx"
@@ -45,6 +49,8 @@ SHARD_BYTES = 64 << 20
 BUCKET_KEYS = 1024
 GROUP_KEYS = 4
 CACHE_WORDS = 1_500_000
+#: Bytes of a row group of the index: a lookup reads one.
+INDEX_GROUP = 1 << 20
 END_ID = 2
 
 
@@ -66,7 +72,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
         self.kind = "<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
@@ -214,7 +219,7 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
 
 def build_index(entries: DataFrame, buckets: int) -> DataFrame:
     """bucket, displacements, slots; entries: doc_id, k, shard_no, first, n_tokens."""
-    dealt = _hashed(entries, buckets).select("bucket", "h1", "h2", "shard_no", "first", "n_tokens").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = _hashed(entries, buckets).select("bucket", "h1", "h2", "shard_no", "first", "n_tokens").repartitionByRange("bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 0):
@@ -252,10 +257,41 @@ def look_up(index: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
 
 
 class Store:
-    """A folder of shards with its index, as `write` leaves them."""
-
-    def __init__(self, spark: SparkSession, folder: str, shards: DataFrame, index: DataFrame, keys: DataFrame, buckets: int) -> None:
-        self.spark, self.folder, self.shards, self.index, self.keys, self.buckets = spark, folder, shards, index, keys, buckets
+    """A folder of shards with its index, as `write` leaves it."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int) -> None:
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+        self.index = spark.read.schema("bucket long, displacements binary, slots binary").parquet(f"{folder}/index")
+        self.shards = spark.read.parquet(f"{folder}/shards").select("shard_no", "shard", "base")
+        self.keys = spark.read.schema("doc_id long, k long").parquet(f"{folder}/entries")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Store:
+        """The store that `write` has left in `folder`, by this session or another."""
+        fs, root = open_store(folder)
+        with fs.open_input_file(f"{root}/STORE.json") as f:
+            about = json.loads(f.read())
+        if about.get("magic") != MAGIC.decode():
+            raise ValueError(f"{folder} is no store")
+        return cls(spark, folder, about["buckets"])
+
+    def get(self, doc_id: int | None, k: int = 0) -> np.ndarray | None:
+        """The ids of one document; None if the store has no such key. One bucket of the index and one range of a shard are read."""
+        key = self.spark.createDataFrame([(doc_id, k)], "doc_id long, k long")
+        h1, h2, bucket = _hashed(key, self.buckets).select("h1", "h2", "bucket").first()
+        row = self.index.where(F.col("bucket") == bucket).first()
+        if row is None:
+            return None
+        d, s = np.frombuffer(row["displacements"], np.uint32), np.frombuffer(row["slots"], _SLOT)
+        got = s[slots(np.array([h2], np.int64).view(np.uint64), d, len(s))[0]]
+        if int(got["print"]) != (h1 & 0xFFFFFFFFFFFFFFFF) >> 32:
+            return None
+        name = self.shards.where(F.col("shard_no") == int(got["shard"])).first()["shard"]
+        fs, root = open_store(self.folder)
+        with fs.open_input_file(f"{root}/{name}") as f:
+            magic, width = struct.unpack(HEADER, f.read(HEADER_BYTES))
+            f.seek(HEADER_BYTES + int(got["first"]) * width)
+            return np.frombuffer(f.read(int(got["n"]) * width), f"<u{width}").astype(np.uint32)
 
     def read(self, keys: DataFrame | None = None, *, payload: bool = False) -> DataFrame:
         """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of the keys' documents, read from the shards; with `payload` also ids."""
@@ -299,15 +335,19 @@ def write(docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id",
     folder = folder or fresh_path(spark, "tokens")
     fs, root = open_store(folder)
     fs.create_dir(root, recursive=True)
-    rows = cut(write_shards(docs, folder, id_col=id_col, text_col=text_col, tokenizer=tokenizer, end_id=end_id))
+    rows = write_table(write_shards(docs, folder, id_col=id_col, text_col=text_col, tokenizer=tokenizer, end_id=end_id), f"{folder}/entries")
     # One row a shard of 64 MB: few enough for one ordered sum.
     sums = rows.groupBy("part", "seq", "shard").agg(F.sum("n_tokens").alias("ids"))
     w = Window.orderBy("part", "seq")
-    shards = cut(sums.select((F.row_number().over(w) - 1).alias("shard_no"), "part", "seq", "shard", (F.sum("ids").over(w) - F.col("ids")).alias("base")))
+    numbered = sums.select((F.row_number().over(w) - 1).alias("shard_no"), "part", "seq", "shard", (F.sum("ids").over(w) - F.col("ids")).alias("base"))
+    shards = write_table(numbered, f"{folder}/shards")
     buckets = max(1, -(-rows.count() // BUCKET_KEYS))
     entries = rows.join(shards.select("part", "seq", "shard_no"), ["part", "seq"]).select("doc_id", "k", "shard_no", "first", "n_tokens")
-    index = cut(build_index(entries, buckets))
-    return Store(spark, folder, shards.select("shard_no", "shard", "base"), index, rows.select("doc_id", "k"), buckets)
+    index = build_index(entries, buckets)
+    index.write.option("parquet.block.size", INDEX_GROUP).parquet(f"{folder}/index")
+    with fs.open_output_stream(f"{root}/STORE.json") as f:
+        f.write(json.dumps({"magic": MAGIC.decode(), "buckets": buckets}).encode())
+    return Store.open(spark, folder)
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,10 +266,11 @@ def test_token_store(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenstore.default_tokenizer())
-    t.encode_special_tokens = True
-    extra = [(7, "again <|endoftext|>", *[None] * 9, None), (None, "no id", *[None] * 9, None)]
+    special = "again <|endoftext|>x<|startoftext|> <|ENDOFTEXT|> <| endoftext|>"
+    assert {49406, 49407} <= set(t.encode(special, add_special_tokens=False).ids)
+    extra = [(7, special, *[None] * 9, None), (None, "no id", *[None] * 9, None)]
     got = sorted((tuple(r) for r in tokenstore.write(fixture(spark, extra=extra)).read().collect()), key=lambda r: r[1])
-    order = [(None, "no id")] + sorted([*((i, x or "") for i, x in enumerate(TEXTS)), (7, "again <|endoftext|>")], key=lambda x: (x[0], x[1].encode()))
+    order = [(None, "no id")] + sorted([*((i, x or "") for i, x in enumerate(TEXTS)), (7, special)], key=lambda x: (x[0], x[1].encode()))
     at = 0
     assert len(got) == len(order)
     for r, (i, x) in zip(got, order, strict=True):
@@ -281,6 +282,13 @@ def test_token_store(spark):
     one = store.read(asked, payload=True).collect()
     assert len(one) == 1 and np.frombuffer(one[0]["ids"], "<u4").tolist() == [*t.encode(TEXTS[3], add_special_tokens=False).ids, 2]
     assert tokenstore.write(fixture(spark, EMPTY)).read().count() == 0
+    other = tokenstore.Store.open(spark.newSession(), store.folder)
+    assert sorted(map(str, other.read().collect())) == sorted(map(str, store.read().collect()))
+    for i, x in enumerate(TEXTS):
+        assert other.get(i).tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 2]
+    assert other.get(12345) is None and other.get(3, 1) is None
+    plan = other.index.where("bucket = 0")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(bucket), EqualTo(bucket,0)]" in plan
 
 
 def test_perfect_hash():
