@@ -1,37 +1,45 @@
 """Format-preserving pseudonyms for personal data (operator 2).
 
 What is found, and how it is validated: e-mail addresses; phone numbers by their
-shape (3-3-4 digits, or + and a country code); card numbers (13 to 19 digits, Luhn; also among further groups of digits); IBANs (mod 97); US social security numbers; IPv4
-addresses; calendar dates; secrets (values assigned to names such as token, and
-long hexadecimal strings). Numbers that fail their check are left alone.
+shape (3-3-4 digits, or + and a country code, or five pairs of digits from a 0); card numbers (13 to 19 digits, Luhn; also among further groups of digits); IBANs (mod 97);
+US social security numbers; IPv4 and IPv6 addresses (not after words such as "version"); calendar dates in digits, or with the month's name in four
+languages; secrets (values assigned to names such as token, long hexadecimal strings, access keys with the prefix of their
+issuer). Numbers that fail their check are left alone.
 
 Each value is sent through a keyed Feistel permutation of its own format: as
 many digits or letters of the same kind in the same places, punctuation as it was. What
 makes a value valid is kept: card and IBAN check digits are computed anew, dates are
-permuted among the days of 1900 to 2099, octets stay octets. A permutation sends
+permuted among the days of 1900 to 2099 that are written with as many digits, octets stay octets. A permutation sends
 equal values to equal pseudonyms in every document, and different values of a format to different ones,
-so records stay linked without the value.
+so records stay linked without the value. The domain of an e-mail address stays.
 
 Domains that are not powers of two (days) are walked until the permutation lands inside them.
 
+The key is never in the code: it is `kvlake.pii.key` of the session, or else a random one, made once and kept in the
+shared folder (spark.checkpoint.dir), so that all documents of a corpus are linked.
+
 Defined results: a null text stays null; a text without findings is unchanged; columns of the input
-named as the results are replaced; repeated rows give equal rows; an empty table gives none.
+named as the results are replaced; repeated rows give equal rows; an empty table gives none; a text of any length is searched whole, in
+time that grows with its length and its findings.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
+import secrets
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, table
+from .common import arrow_map, shared_dir, table
 
-#: Stands for a secret; production passes its own.
-KEY = b"kvlake"
+#: The session's setting that names the key.
+KEY_SETTING = "kvlake.pii.key"
 ROUNDS = 10
 #: Alphabets of letters and digits that are permuted among themselves.
 ALPHABETS = [
@@ -124,33 +132,52 @@ def phone(key: bytes, m: re.Match) -> str | None:
     return head + refill(rest, permute_digits(key, "phone", _digits(rest)))
 
 
+class Spans:
+    """Replacements (start, end, new) that do not overlap, by start."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.held: list[tuple[int, int, str]] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return not i or self.held[i - 1][1] <= a
+
+    def add(self, a: int, b: int, new: str) -> None:
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.held.insert(i, (a, b, new))
+
+
 def phone_abroad(key: bytes, m: re.Match) -> str | None:
     return None if re.fullmatch(r"\+\d+\.\d+", m[0]) else phone(key, m)  # a decimal number
 
 
-def card(key: bytes, digits: str) -> str | None:
-    if not 13 <= len(digits) <= 19 or luhn(digits) or not int(digits):
-        return None
+def card(key: bytes, digits: str) -> str:
     body = permute_digits(key, "card", digits[:-1])
     return body + str(-luhn(body + "0") % 10)
 
 
 def cards(key: bytes, m: re.Match) -> list[tuple[int, int, str]]:
-    """The cards among the groups of a run of digits, as (start, end, pseudonym); of overlapping ones the longest, then the first."""
+    """The cards among the groups of a run of digits, as (start, end, pseudonym); of overlapping ones the longest, then the first.
+
+    A card has groups of three digits at least.
+    """
     groups = [g.span() for g in re.finditer(r"\d+", m[0])]
     runs = []
     for i, (a, _) in enumerate(groups):
-        for _, b in groups[i:]:
-            digits = _digits(m[0][a:b])
-            if len(digits) > 19:
+        digits = ""
+        for x, b in groups[i:]:
+            digits += m[0][x:b]
+            if len(digits) > 19 or b - x < 3:
                 break
-            if (new := card(key, digits)) is not None:
-                runs.append((-len(digits), a, b, refill(m[0][a:b], new)))
-    out: list[tuple[int, int, str]] = []
-    for _, a, b, new in sorted(runs):
-        if all(b <= x - m.start() or y - m.start() <= a for x, y, _ in out):
-            out.append((m.start() + a, m.start() + b, new))
-    return out
+            if len(digits) >= 13 and not luhn(digits) and int(digits):
+                runs.append((-len(digits), a, b, digits))
+    out = Spans()
+    for _, a, b, digits in sorted(runs):
+        if out.free(a, b):
+            out.add(a, b, refill(m[0][a:b], card(key, digits)))
+    return [(m.start() + a, m.start() + b, new) for a, b, new in out.held]
 
 
 def iban(key: bytes, m: re.Match) -> str | None:
@@ -175,9 +202,12 @@ def ssn(key: bytes, m: re.Match) -> str | None:
             return x
 
 
+_numbered = re.compile(r"(?i)(?:version|release|build|section|chapter|v|ver)\.?[ :=]{0,2}$")
+
+
 def ipv4(key: bytes, m: re.Match) -> str | None:
     octets = m[0].split(".")
-    if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets):
+    if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets) or _numbered.search(m.string, max(0, m.start() - 12), m.start()):
         return None
     x = 0
     for o in octets:
@@ -186,22 +216,48 @@ def ipv4(key: bytes, m: re.Match) -> str | None:
     return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
 
-def _date(key: bytes, m: re.Match, order: str) -> str | None:
-    parts = re.split(r"[-./]", m[0])
-    y, mo, d = (int(parts[order.index(c)]) for c in "ymd")
+def ipv6(key: bytes, m: re.Match) -> str | None:
     try:
-        x = datetime.date(y, mo, d).toordinal() - FIRST_DAY
+        ipaddress.IPv6Address(m[0])
     except ValueError:
         return None
+    digits = m[0].replace(":", "")
+    if not re.search(r"\d", digits):
+        return None
+    new = permute_digits(key, "ipv6|" + re.sub(r"\w", "x", m[0]), digits.lower(), HEX)
+    it = iter(new.upper() if digits.upper() == digits else new)
+    return "".join(c if c == ":" else next(it) for c in m[0])
+
+
+def _permuted_day(key: bytes, x: int, fits: Callable[[datetime.date], bool]) -> datetime.date | None:
+    """The next day by the permutation that is of the days that fit; None if this one is not among them."""
+    x -= FIRST_DAY
     if not 0 <= x < DAYS:
         return None
     while True:
         x = feistel(key, "date", x, 2, 18)
-        if x < DAYS:
-            break
-    new = datetime.date.fromordinal(x + FIRST_DAY)
-    held = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-    marks = re.findall(r"[-./]", m[0])
+        if x < DAYS and fits(new := datetime.date.fromordinal(x + FIRST_DAY)):
+            return new
+
+
+def _width(n: int, text: str, padded: bool) -> bool:
+    """n can be written as wide as `text`: without zeros before it unless `padded`."""
+    return len(text) == 2 if padded else len(str(n)) == len(text)
+
+
+def _date(key: bytes, m: re.Match, order: str) -> str | None:
+    marks, parts = re.findall(r"[-./]", m[0]), dict(zip(order, re.split(r"[-./]", m[0]), strict=True))
+    try:
+        x = datetime.date(int(parts["y"]), int(parts["m"]), int(parts["d"])).toordinal()
+    except ValueError:
+        return None
+    padded = len(parts["m"]) == len(parts["d"]) == 2  # else numbers are written without zeros, or this is no date
+    if not padded and "0" in (parts["m"][0], parts["d"][0]):
+        return None
+    new = _permuted_day(key, x, lambda t: _width(t.month, parts["m"], padded) and _width(t.day, parts["d"], padded))
+    if new is None:
+        return None
+    held = {"y": f"{new.year:04d}", "m": f"{new.month:0{len(parts['m'])}d}", "d": f"{new.day:0{len(parts['d'])}d}"}
     return held[order[0]] + marks[0] + held[order[1]] + marks[1] + held[order[2]]
 
 
@@ -213,6 +269,38 @@ def date_dmy(key: bytes, m: re.Match) -> str | None:
     return _date(key, m, "dmy") or _date(key, m, "mdy")
 
 
+#: The names of months in English, German, French and Spanish, and short forms in English.
+MONTHS = [
+    "january february march april may june july august september october november december".split(),
+    "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+    "jan feb mar apr may jun jul aug sep oct nov dec".split(),
+]
+_MONTH = "(?P<month>" + "|".join(sorted({re.escape(x) for names in MONTHS for x in names}, key=len, reverse=True)) + ")"
+
+
+def date_named(key: bytes, m: re.Match) -> str | None:
+    name, day = m["month"], m["day"]
+    names = next(x for x in MONTHS if name.lower() in x)
+    try:
+        x = datetime.date(int(m["year"]), names.index(name.lower()) + 1, int(day)).toordinal()
+    except ValueError:
+        return None
+    zero = day[0] == "0"
+    new = _permuted_day(key, x, lambda t: (t.day < 10) == (zero or len(day) == 1))
+    if new is None:
+        return None
+    word = names[new.month - 1]
+    word = word.upper() if name.isupper() else word.capitalize() if name[0].isupper() else word
+    held = {"month": word, "day": f"{new.day:0{len(day)}d}", "year": f"{new.year:04d}"}
+    out, at = [], 0
+    for part in sorted(held, key=m.start):
+        out += [m[0][at : m.start(part) - m.start()], held[part]]
+        at = m.end(part) - m.start()
+    return "".join(out) + m[0][at:]
+
+
 def secret(key: bytes, m: re.Match) -> str | None:
     value = m["value"]
     a = m.start("value") - m.start()
@@ -224,6 +312,10 @@ def secret(key: bytes, m: re.Match) -> str | None:
     return m[0][:a] + new + m[0][a + len(value) :]
 
 
+def access_key(key: bytes, m: re.Match) -> str | None:
+    return secret(key, m) if re.search("[0-9]", m["value"]) else None
+
+
 def hexadecimal(key: bytes, m: re.Match) -> str | None:
     return secret(key, m) if re.search("[0-9]", m[0]) and re.search("[a-fA-F]", m[0]) else None
 
@@ -232,51 +324,85 @@ def hexadecimal(key: bytes, m: re.Match) -> str | None:
 _COUNTRY = r"(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: kind, pattern, pseudonym (of the match, or spans in it); earlier kinds take what they match.
 KINDS: list[tuple[str, str, Callable[[bytes, re.Match], str | list[tuple[int, int, str]] | None]]] = [
-    ("email", r"(?<![\w.+%-])[\w.+%-]*\w@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w])", email),
+    ("email", r"(?<![\w.+%-])[\w.+%-]*\w@(?:[^\W_](?:[^\W_]|-(?=[^\W_]|-))*\.)+[^\W\d_]{2,}(?![\w])", email),
     ("secret", r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b)\W{0,8}[=:]\W{0,8}(?P<value>[A-Za-z0-9_+/\-]{8,})", secret),
     ("hex", r"(?<![\w])(?P<value>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\w])", hexadecimal),
+    ("secret", r"(?<![\w])(?:AKIA|ASIA)(?P<value>[A-Z0-9]{16})(?![\w])", access_key),
+    ("secret", r"(?<![\w])(?:gh[pousr]_|github_pat_|xox[abprs]-|AIza|sk-|sk_live_|eyJ)(?P<value>[A-Za-z0-9_\-.]{20,})(?![\w])", access_key),
     ("iban", r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])", iban),
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,}(?![\w-])", cards),
     ("phone", r"(?<![\w.])(?P<cc>\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?![\w])", phone),
     ("phone", rf"(?<![\w.+])(?P<cc>\+{_COUNTRY}[ .-]?)\(?\d(?:\)?[ .-]?\(?\d){{5,12}}(?![\w])", phone_abroad),
+    ("phone", r"(?<![\w.+/-])(?P<cc>0[1-9])([ .-])\d{2}(?:\2\d{2}){3}(?![\w./-]\d|\w)", phone),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)", ipv4),
+    ("ipv6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:(?=[0-9A-Fa-f:])){2,7}(?::?[0-9A-Fa-f]{1,4}:?){0,7}(?<!:)(?![\w:])", ipv6),
     ("date_ymd", r"(?<![\w./-])\d{4}([-./])\d{1,2}\1\d{1,2}(?![\w/-])", date_ymd),
     ("date_dmy", r"(?<![\w./-])\d{1,2}([-./])\d{1,2}\1\d{4}(?![\w/-])", date_dmy),
+    ("date_named", rf"(?i)(?<![\w./-])(?P<day>\d{{1,2}})(?:st|nd|rd|th|\.)?(?: de | of | |-){_MONTH}\.?(?: de |, | |-)(?P<year>(?:19|20)\d\d)(?![\w/-])", date_named),
+    ("date_named", rf"(?i)(?<![\w])\b{_MONTH}\.? (?P<day>\d{{1,2}})(?:st|nd|rd|th)?,? (?P<year>(?:19|20)\d\d)(?![\w/-])", date_named),
 ]
 _compiled = [(k, re.compile(p), f) for k, p, f in KINDS]
-_any = re.compile(r"[0-9@]|(?i:token|secret|passw|pwd|key)")
+_any = re.compile(r"[0-9@]|(?i:token|secret|passw|pwd|key)|AIza|eyJ|sk-|gh[pousr]_|xox")
+_rare = {"email": "@", "ipv6": ":"}
 
 
-def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
+def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind."""
     if not _any.search(text):
         return text, {}
     found: dict[str, int] = {}
-    spans: list[tuple[int, int, str]] = []
+    spans = Spans()
     for kind, pattern, pseudonym in _compiled:
-        if kind == "email" and "@" not in text:
+        if _rare.get(kind, "") not in text:
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            if any(a < y and x < b for x, y, _ in spans):
+            if not spans.free(a, b):
                 continue
             new = pseudonym(key, m)
             if new:
                 new = [(a, b, new)] if isinstance(new, str) else new
-                spans += new
+                for x in new:
+                    spans.add(*x)
                 found[kind] = found.get(kind, 0) + len(new)
-    if not spans:
+    if not spans.held:
         return text, found
     out, at = [], 0
-    for a, b, new in sorted(spans):
+    for a, b, new in spans.held:
         out += [text[at:a], new]
         at = b
     return "".join(out) + text[at:], found
 
 
-def scrub(docs: DataFrame, *, text_col: str = "text", key: bytes = KEY, counts: bool = True) -> DataFrame:
-    """`docs` with pseudonyms in its text; with `counts` also n_pii and pii_kinds (a count by kind)."""
+_made: dict[str, bytes] = {}
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key of the session: its setting, or the one kept in the shared folder, which is made if there is none."""
+    if named := spark.conf.get(KEY_SETTING, None):
+        return hashlib.blake2b(named.encode(), digest_size=32).digest()
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/kvlake-pii-key")
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            own = jvm.org.apache.hadoop.fs.Path(f"{path.toString()}-{secrets.token_hex(8)}")
+            out = fs.create(own, False)
+            out.write(bytearray(secrets.token_bytes(32)))
+            out.close()
+            if not fs.rename(own, path):  # another job was faster
+                fs.delete(own, False)
+        stream = fs.open(path)
+        _made[app] = bytes(stream.readAllBytes())
+        stream.close()
+    return _made[app]
+
+
+def scrub(docs: DataFrame, *, text_col: str = "text", key: bytes | None = None, counts: bool = True) -> DataFrame:
+    """`docs` with pseudonyms in its text (by `key`, or that of the session); with `counts` also n_pii and pii_kinds (a count by kind)."""
+    key = key or key_of(docs.sparkSession)
     new = ["n_pii", "pii_kinds"] * counts
     names = [c for c in docs.columns if c not in new]
     head = docs.select(*names)

@@ -25,7 +25,7 @@ def test_stages_take_effect(spark, tmp_path):
     one = docs.where(docs.doc_id.isin(list(kept)))
     reps = {r["doc_id"] for r in simhash.near_duplicates(one).collect() if r["doc_id"] == r["component_id"]}
     assert not reps & {29, 30}
-    clean = {i: pii.pseudonymise(texts[i])[0] for i in reps}
+    clean = {i: pii.pseudonymise(texts[i], pii.key_of(spark))[0] for i in reps}
     assert all("one@" not in t for t in clean.values())
     held = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in clean.items()], docs.schema)
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(held).collect()}
