@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,6 +109,23 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/kvlake-{what}-{uuid.uuid4().hex}"
 
 
+def fresh_names(columns: Iterable[str], *names: str) -> list[str]:
+    """`names`, with marks before them as long as they clash with one of `columns` (whatever its case)."""
+    held, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in held:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row; maps, which have none, by their JSON."""
+    holds_map = lambda t: "map<" in t.simpleString() or "variant" in t.simpleString()
+    quoted = lambda n: F.col("`" + n.replace("`", "``") + "`")
+    return F.xxhash64(*[F.to_json(F.struct(quoted(f.name))) if holds_map(f.dataType) else quoted(f.name) for f in df.schema.fields])
+
+
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text; none for null."""
     held = F.btrim(F.coalesce(text, F.lit("")), F.lit(BREAK_CHARS))

@@ -16,8 +16,8 @@ to as many groups as it needs.
 Defined results: a null text has size 0; a null source is a source of its own, ordered
 last; a source without words has target 0 and takes nothing; an empty table
 gives an empty result; repeated rows are separate documents, ranked by their
-content, so that rows equal in all respects are interchangeable; columns of
-the input with the names of the results are replaced.
+content, so that only rows equal in all respects are interchangeable; columns of
+the input with the names of the results are replaced; a text of any length is one document, never cut.
 """
 
 from __future__ import annotations
@@ -27,10 +27,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, table
+from .common import fresh_names, n_words, row_hash, table
 
 #: Documents of a source for each salt; a salt holds about eight size classes.
 SALT_ROWS = 1000
+#: Neighbouring salts that are summed first.
+RUN = 1024
+#: Sources whose plan is broadcast.
+MAX_BROADCAST = 10_000
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 
@@ -71,35 +75,52 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     spark = docs.sparkSession
     new = ["size", "source_size", "target", "copies", "taken"]
     kept = [c for c in docs.columns if c not in new] if keep_columns else [id_col]
-    base = docs.select(*[F.col(c) for c in kept], F.col(source_col).alias("__src"), n_words(F.col(text_col)).alias("size"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__key"), F.xxhash64(text_col).alias("__tie"))
-    totals = base.groupBy("__src").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
-    sizes = {r["__src"]: int(r["words"]) for r in totals}
+    names = ("src", "of", "key", "tie", "rate", "salts", "class", "salt", "rank", "before", "at")
+    src, of, key, tie, rate, salts, class_, salt, rank, before, at = fresh_names([*kept, *new], *names)
+    base = docs.select(*[F.col(c) for c in kept], F.col(source_col).alias(src), n_words(F.col(text_col)).alias("size"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias(key), row_hash(docs).alias(tie))
+    totals = base.groupBy(src).agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
+    sizes = {r[src]: int(r["words"]) for r in totals}
     aims = targets(sizes, weights, cap)
     plan = spark.createDataFrame(
-        [(s, sizes[s], aims[s], min(cap, aims[s] / sizes[s]) if sizes[s] else 0.0, max(1, -(-int(r["rows"]) // SALT_ROWS))) for r in totals for s in [r["__src"]]],
-        "__of string, source_size long, target double, __rate double, __salts int",
+        [(s, sizes[s], aims[s], min(cap, aims[s] / sizes[s]) if sizes[s] else 0.0, max(1, -(-int(r["rows"]) // SALT_ROWS))) for r in totals for s in [r[src]]],
+        f"`{of}` string, source_size long, target double, `{rate}` double, `{salts}` int",
     )
-    # One row a source: its size is bounded by the number of sources the driver has just read.
-    base = base.join(F.broadcast(plan), F.col("__src").eqNullSafe(F.col("__of")), "left")
-    base = base.withColumn("__class", F.length(F.bin("size"))).withColumn("__salt", F.pmod(_draw(F.col("__key")), F.col("__salts").cast("long")).cast("int"))
-    group = ["__src", "__class", "__salt"]
-    counts = base.groupBy(*group).agg(F.count("*").alias("__n"))
-    before = counts.select(*[F.col(c).alias(f"{c}_g") for c in group], (F.sum("__n").over(Window.partitionBy("__src").orderBy("__class", "__salt")) - F.col("__n")).alias("__before"))
-    ranked = base.withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy("size", id_col, "__tie")))
+    # One row a source, counted just now: few are broadcast, many are joined as they come.
+    base = base.join(F.broadcast(plan) if len(totals) <= MAX_BROADCAST else plan, F.col(src).eqNullSafe(F.col(of)), "left")
+    base = base.withColumn(class_, F.length(F.bin("size"))).withColumn(salt, F.pmod(_draw(F.col(key)), F.col(salts).cast("long")).cast("int"))
+    starts = _starts(base.select(F.col(src).alias("src"), F.col(class_).alias("class"), F.col(salt).alias("salt")))
+    starts = starts.select(F.col("src").alias(f"{before}_src"), F.col("class").alias(f"{before}_class"), F.col("salt").alias(f"{before}_salt"), F.col("before").alias(before))
+    ranked = base.withColumn(rank, F.row_number().over(Window.partitionBy(src, class_, salt).orderBy("size", id_col, tie)))
     same = F.lit(True)
-    for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}_g"))
-    placed = ranked.join(before, same).withColumn("__at", F.col("__before") + F.col("__rank"))
-    offset = _draw(F.concat(F.lit("offset:"), F.coalesce(F.col("__src"), F.lit("")))) / F.lit(2.0**32)
-    step = lambda at: F.floor(at * F.col("__rate") + offset)
-    copies = F.least(step(F.col("__at")) - step(F.col("__at") - 1), F.lit(int(cap))).cast("long")
+    for c, name in ((src, "src"), (class_, "class"), (salt, "salt")):
+        same = same & F.col(c).eqNullSafe(F.col(f"{before}_{name}"))
+    placed = ranked.join(starts, same).withColumn(at, F.col(before) + F.col(rank))
+    offset = _draw(F.concat(F.lit("offset:"), F.coalesce(F.col(src), F.lit("")))) / F.lit(2.0**32)
+    step = lambda x: F.floor(x * F.col(rate) + offset)
+    copies = F.least(step(F.col(at)) - step(F.col(at) - 1), F.lit(int(cap))).cast("long")
     out = placed.withColumn("copies", copies)
     return out.select(*kept, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """src, class, salt, before: the documents of a source before each of its groups, in the order of (class, salt).
+
+    Sums in two levels: RUN neighbouring salts make a run, whose total stands for them in the sum over runs,
+    so that no task sees more than a RUN-th of a source's groups.
+    """
+    counts = rows.groupBy("src", "class", "salt").agg(F.count("*").alias("n")).withColumn("run", F.floor(F.col("salt") / RUN))
+    inner = F.sum("n").over(Window.partitionBy("src", "class", "run").orderBy("salt")) - F.col("n")
+    runs = counts.groupBy("src", "class", "run").agg(F.sum("n").alias("total"))
+    outer = F.sum("total").over(Window.partitionBy("src").orderBy("class", "run")) - F.col("total")
+    runs = runs.select(F.col("src").alias("r_src"), F.col("class").alias("r_class"), F.col("run").alias("r_run"), outer.alias("base"))
+    same = F.col("src").eqNullSafe(F.col("r_src")) & (F.col("class") == F.col("r_class")) & (F.col("run") == F.col("r_run"))
+    return counts.withColumn("inner", inner).join(runs, same).select("src", "class", "salt", (F.col("base") + F.col("inner")).alias("before"))
+
+
 def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each document of `mix` as often as its copies say."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+    (copy,) = fresh_names(columns, "copy_no")
+    return mixed.where("copies > 0").select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias(copy)).drop(copy)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

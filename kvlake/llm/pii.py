@@ -167,7 +167,7 @@ def cards(key: bytes, m: re.Match) -> list[tuple[int, int, str]]:
     runs = []
     for i, (a, _) in enumerate(groups):
         digits = ""
-        for x, b in groups[i:]:
+        for x, b in groups[i : i + 7]:
             digits += m[0][x:b]
             if len(digits) > 19 or b - x < 3:
                 break

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import fresh_names, table, words
 
 BUCKETS = 1 << 14
 MAX_TRUSTED = 20_000
@@ -121,6 +121,7 @@ def filter_kept(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     """The rows of `docs` that `judge` keeps, with all their columns; a row's id and text name its verdict, so repeated ids are no matter."""
     weights = log_ratios(docs, trusted_ids(labels), id_col=id_col, text_col=text_col).scalar()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__th"), text.alias("text"))
-    kept = _judged(keys, ["__id", "__th"], weights, BUCKETS, THRESHOLD).where("kept").select("__id", "__th")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left_semi")
+    key, th = fresh_names(docs.columns, "kept_id", "kept_text")
+    keys = docs.select(F.col(id_col).alias(key), F.xxhash64(text).alias(th), text.alias("text"))
+    kept = _judged(keys, [key, th], weights, BUCKETS, THRESHOLD).where("kept").select(key, th)
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(th)), "left_semi")

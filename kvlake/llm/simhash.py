@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, table
+from .common import arrow_map, cut, fresh_names, row_hash, table
 from .components import components
 
 SHINGLE = 3
@@ -250,12 +250,14 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 def leave_one(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """`docs` without the rows whose doc_id in `found` is not its component_id; rows of one id are one group."""
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone_id, twice_id, n, r = fresh_names(docs.columns, "gone_id", "twice_id", "n_rows", "row_no")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    left = docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")
     # Repeated ids: their rows are one group, so one of them stays.
-    twice = docs.groupBy(id_col).agg(F.count("*").alias("__n")).where(f"__n > 1 AND `{id_col}` IS NOT NULL").select(F.col(id_col).alias("__id"))
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(twice_id)).agg(F.count("*").alias(n)).where(f"{n} > 1").select(twice_id)
     if twice.isEmpty():
         return left
-    shared = left.join(twice, left[id_col] == twice["__id"], "left")
-    w = Window.partitionBy("__id").orderBy(F.xxhash64(*docs.columns))
-    return shared.where("__id IS NULL").select(docs.columns).union(shared.where("__id IS NOT NULL").withColumn("__r", F.row_number().over(w)).where("__r = 1").select(docs.columns))
+    shared = left.join(twice, F.col(id_col) == F.col(twice_id), "left")
+    w = Window.partitionBy(twice_id).orderBy(row_hash(docs))
+    one = shared.where(F.col(twice_id).isNotNull()).withColumn(r, F.row_number().over(w)).where(f"{r} = 1")
+    return shared.where(F.col(twice_id).isNull()).select(docs.columns).union(one.select(docs.columns))

@@ -273,6 +273,30 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 5)
+    edges = [(50, 100 + i) for i in range(60)] + [(100 + i, 200 + i) for i in range(60)] + [(7, 259), (900 + 7, 900), (3000, 3001)]
+    want = groups([(min(e), max(e)) for e in edges], {n for e in edges for n in e})
+    assert {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+CLASH = "doc_id long, text string, source string, `__id` string, `__th` long, `__src` string, `__of` int, `__key` string, `__gone` long, kept_id int, kept_text int, gone_id int, twice_id int, n_rows int, row_no int, src int, `Before` int, `at` int, salt int, copy_no int, m map<string,int>"
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{text} {i // 2}", "a", "x", 1, "s", 2, "k", 3, *[4] * 11, {"a": i}) for i in (1, 2, 3, 3, 5)] + [(None, None, None, "x", 1, "s", 2, "k", 3, *[4] * 11, None)]
+    docs = spark.createDataFrame(rows, CLASH)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.filter_kept(docs, labels).columns == docs.columns and quality.filter_kept(docs, labels).count() == 5
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect())[:2] == [0, 1] and kept.where("doc_id = 3").count() <= 1
+    mixed = mixing.mix(docs)
+    assert mixed.count() == 6 and mixing.emit(mixed, docs.columns).columns == docs.columns
+    assert bpe.encode(docs, keep=("__id", "text")).columns == ["doc_id", "__id", "text", "n_tokens", "ids"]
+    assert pii.scrub(docs, counts=False).columns == docs.columns
+
+
 # --- 4
 
 
@@ -553,6 +577,16 @@ def test_mix(spark):
     assert mixing.mix(fixture(spark, EMPTY)).count() == 0
 
 
+def test_sums_of_runs(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SALT_ROWS", 3)
+    rows = [(i, "w " * (i % 50), "a" if i % 3 else None) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole = sorted(map(tuple, mixing.mix(docs, keep_columns=False).collect()))
+    monkeypatch.setattr(mixing, "RUN", 7)
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 1)
+    assert sorted(map(tuple, mixing.mix(docs, keep_columns=False).collect())) == whole
+
+
 @pytest.mark.parametrize("budget", [4, 9, 1 << 20])
 def test_induced_sorting(budget):
     rng = np.random.default_rng(budget)
