@@ -18,6 +18,37 @@ def from_big_endian(b: Column) -> Column:
     return F.conv(F.hex(b), 16, 10).cast("decimal(20,0)").cast("long")
 
 
+def from_big_endian_unsigned(b: Column) -> Column:
+    """Up to 8 bytes as a number of 0 to 2**64 - 1 (decimal)."""
+    return F.conv(F.hex(b), 16, 10).cast("decimal(20,0)")
+
+
+def uvarint(x: Column) -> Column:
+    """An unsigned number of up to 63 bits in groups of 7 bits, lowest first; all but the last byte have the high bit set."""
+    x = x.cast("long")
+    n = uvarint_size(x)
+    byte = lambda i: F.call_function("shiftrightunsigned", x, i * 7).bitwiseAND(F.lit(127).cast("long"))
+    marked = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.hex(byte(i) + F.when(i < n - 1, 128).otherwise(0)), 2, "0"))
+    return F.unhex(F.array_join(marked, ""))
+
+
+def from_uvarint(b: Column) -> Column:
+    """The number that `uvarint` has written."""
+    at = F.transform(F.sequence(F.lit(1), F.octet_length(b)), lambda i: F.conv(F.substring(F.hex(b), 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+    low = F.transform(at, lambda v, i: F.call_function("shiftleft", v.bitwiseAND(F.lit(127).cast("long")), i * 7))
+    return F.aggregate(low, F.lit(0).cast("long"), lambda a, v: a + v)
+
+
+def byte_slice(b: Column) -> Column:
+    """Bytes with their length before them, in four bytes."""
+    return F.concat(big_endian(F.octet_length(b), 4), b.cast("binary"))
+
+
+def from_byte_slice(b: Column) -> Column:
+    """The bytes that `byte_slice` has written; what follows is not read."""
+    return F.substring(b, F.lit(5), from_big_endian(F.substring(b, F.lit(1), F.lit(4))).cast("int"))
+
+
 def internal_key(key: Column, version: Column) -> Column:
     """key, then the complement of version in 8 bytes: byte order is key, then newest first."""
     return F.concat(key.cast("binary"), F.unhex(F.lpad(F.hex(F.bitwise_not(version.cast("long"))), 16, "0")))
@@ -47,6 +78,21 @@ def entry_size(key: Column, value: Column, threshold: int) -> Column:
     return (F.octet_length(key) + F.when(n < threshold, n).otherwise(12) + 2).cast("long")
 
 
+def encoded_size(value: Column, expires_at: Column) -> Column:
+    """Bytes of a stored value: the value, its expiry as uvarint, and one for its flags."""
+    return (F.coalesce(F.octet_length(value), F.lit(0)) + uvarint_size(F.coalesce(expires_at, F.lit(0))) + 1).cast("long")
+
+
+def log_record_size(key: Column, value: Column) -> Column:
+    """Estimated bytes of a row in a write-ahead log: 8 for the expiry, 4 for the checksum, 21 for the header."""
+    return (F.octet_length(key) + F.coalesce(F.octet_length(value), F.lit(0)) + 33).cast("long")
+
+
+def request_size(key: Column, value: Column) -> Column:
+    """Estimated bytes of a row in a batch to be written: 4 for the checksum, 21 for the header."""
+    return (F.octet_length(key) + F.coalesce(F.octet_length(value), F.lit(0)) + 25).cast("long")
+
+
 def next_power_of_two(x: Column) -> Column:
     """The least power of two that is at least x (x >= 1)."""
     return F.when(x <= 1, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), F.length(F.bin(x.cast("long") - 1))).cast("long"))

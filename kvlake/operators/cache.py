@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import OrderedDict
 from collections.abc import Hashable, Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sketches import bloom_bits_per_key, bloom_hashes
+
 
 def key_frequency(accesses: DataFrame) -> DataFrame:
     """key, hits."""
@@ -35,6 +39,54 @@ def reaccess(accesses: DataFrame, order: str) -> DataFrame:
     return accesses.withColumn("gap", gap).groupBy("key").agg(F.count("gap").alias("again"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap"))
 
 
+class CountMin4:
+    """Four rows of 4-bit counters that stick at 15; an estimate is the least of a key's four; all are halved as they age."""
+
+    def __init__(self, counters: int) -> None:
+        self.width = 1 << max(4, (counters - 1).bit_length())
+        self.rows = np.zeros((4, self.width), np.uint8)
+
+    def _at(self, key: Hashable) -> np.ndarray:
+        h = hashlib.blake2b(repr(key).encode(), digest_size=16).digest()
+        return np.frombuffer(h, np.uint32).astype(np.int64) % self.width
+
+    def add(self, key: Hashable) -> None:
+        at = self._at(key)
+        held = self.rows[np.arange(4), at]
+        self.rows[np.arange(4), at] = np.minimum(held + 1, 15)
+
+    def estimate(self, key: Hashable) -> int:
+        return int(self.rows[np.arange(4), self._at(key)].min())
+
+    def halve(self) -> None:
+        self.rows >>= 1
+
+    def clear(self) -> None:
+        self.rows[:] = 0
+
+
+class Doorkeeper:
+    """A Bloom filter that remembers who was here; `knows` records the key and tells whether it was recorded before."""
+
+    def __init__(self, keys: int, fpp: float = 0.01) -> None:
+        per_key = bloom_bits_per_key(fpp)
+        self.bits, self.hashes = max(64, keys * per_key), bloom_hashes(per_key)
+        self.held = bytearray(-(-self.bits // 8))
+
+    def knows(self, key: Hashable) -> bool:
+        h = hashlib.blake2b(repr(key).encode(), digest_size=16).digest()
+        a, b = int.from_bytes(h[:8], "little"), int.from_bytes(h[8:], "little")
+        seen = True
+        for i in range(self.hashes):
+            at = (a + i * b) % self.bits
+            seen &= bool(self.held[at >> 3] >> (at & 7) & 1)
+            self.held[at >> 3] |= 1 << (at & 7)
+        return seen
+
+    def clear(self) -> None:
+        self.held = bytearray(len(self.held))
+
+
 class TinyLfu:
     """A small driver-side cache: a recency window, then a segmented main part that admits by frequency.
 
@@ -50,16 +102,18 @@ class TinyLfu:
         self.window: OrderedDict[Hashable, object] = OrderedDict()
         self.probation: OrderedDict[Hashable, object] = OrderedDict()
         self.protected: OrderedDict[Hashable, object] = OrderedDict()
-        self.freq: dict[Hashable, int] = {}
+        self.freq, self.door = CountMin4(capacity * 4), Doorkeeper(capacity * 10)
         self.seen = 0
         self.sample = 10 * capacity
         self.hits = self.misses = 0
 
     def _touch(self, key: Hashable) -> None:
-        self.freq[key] = min(15, self.freq.get(key, 0) + 1)
+        if self.door.knows(key):  # the first access only registers
+            self.freq.add(key)
         self.seen += 1
         if self.seen >= self.sample:  # old counts fade
-            self.freq = {k: v // 2 for k, v in self.freq.items() if v > 1}
+            self.freq.halve()
+            self.door.clear()
             self.seen = 0
 
     def get(self, key: Hashable) -> object | None:
@@ -94,7 +148,7 @@ class TinyLfu:
             self.probation[candidate] = held
         elif self.probation:
             victim = next(iter(self.probation))
-            if self.freq.get(candidate, 0) > self.freq.get(victim, 0):
+            if self.door.knows(candidate) and self.freq.estimate(candidate) > self.freq.estimate(victim):
                 del self.probation[victim]
                 self.probation[candidate] = held
 

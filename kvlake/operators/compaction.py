@@ -32,61 +32,69 @@ def level_totals(tables: DataFrame) -> DataFrame:
     return tables.groupBy("level").agg(F.count("*").alias("tables"), F.sum("size_bytes").alias("size_bytes"), F.sum("stale_bytes").alias("stale_bytes"))
 
 
-def targets(sizes: Mapping[int, int], options: EngineOptions = EngineOptions()) -> tuple[int, dict[int, int], dict[int, int]]:
-    """(base level, target bytes by level, table bytes by level).
+def target_bytes(last_bytes: int, options: EngineOptions = EngineOptions()) -> dict[int, int]:
+    """Bytes that levels 1 to the last are meant to hold: of each level a `level_multiplier`-th of the one below, base_level_size at least."""
+    last = options.max_levels - 1
+    return {i: max(last_bytes // options.level_multiplier ** (last - i), options.base_level_size) for i in range(1, last + 1)}
 
-    From the last level upward each target is a `level_multiplier`-th of the
-    one below, at least base_level_size; the first level whose size is within
-    base_level_size is the base that level 0 flows into. It sinks over levels that are empty.
+
+def flow_level(sizes: Mapping[int, int], options: EngineOptions = EngineOptions()) -> tuple[int, int]:
+    """(first, base): the lowest level whose share is within base_level_size, and the level that level 0 flows into.
+
+    The base is the last of the empty levels below `first`, and one more if it is empty itself and the level below it has room.
     """
-    last, base, want = options.max_levels - 1, 0, {}
-    size = sizes.get(last, 0)
-    for level in range(last, 0, -1):
-        want[level] = max(size, options.base_level_size)
-        if base == 0 and size <= options.base_level_size:
-            base = level
-        size //= options.level_multiplier
-    file, per_table = options.base_table_size, {0: options.memtable_size}
-    for level in range(1, last + 1):
-        if level > base:
-            file *= options.table_multiplier
-        per_table[level] = file
-    # The base moves down while what lies below is empty and small enough to take it.
-    for level in range(base + 1, last):
-        if sizes.get(level, 0):
-            break
-        base = level
-    if base < last and not sizes.get(base, 0) and sizes.get(base + 1, 0) < want[base + 1]:
-        base += 1
-    return base, want, per_table
-
-
-def scores(levels: Mapping[int, tuple[int, int]], base: int, want: Mapping[int, int], options: EngineOptions = EngineOptions(), inflight: Mapping[int, int] | None = None) -> list[tuple[int, float, float]]:
-    """(level, score, adjusted) of levels that are due, most urgent first; levels: tables and bytes of each.
-
-    A level whose lower neighbour is due as well is damped by that neighbour's score.
+    last = options.max_levels - 1
+    share = lambda i: sizes.get(last, 0) // options.level_multiplier ** (last - i)
+    first = max((i for i in range(1, last + 1) if share(i) <= options.base_level_size), default=0)
+    full = min((i for i in range(first + 1, last) if sizes.get(i, 0)), default=last)
+    base = max(first, full - 1)
+    room = base < last and not sizes.get(base, 0) and sizes.get(base + 1, 0) < target_bytes(sizes.get(last, 0), options)[base + 1]
+    return first, base + room
+
+
+def table_bytes(first: int, options: EngineOptions = EngineOptions()) -> dict[int, int]:
+    """Bytes of a table of each level: those below `first` grow by table_multiplier a level."""
+    below = {i: options.base_table_size * options.table_multiplier ** max(0, i - first) for i in range(1, options.max_levels)}
+    return {0: options.memtable_size, **below}
+
+
+def policy(sizes: Mapping[int, int], options: EngineOptions = EngineOptions()) -> list[tuple[int, int | None, int, bool, int | None]]:
+    """A row a level: level, target, table bytes, whether it is the base, and the level whose score damps it (none for the last)."""
+    want, (first, base) = target_bytes(sizes.get(options.max_levels - 1, 0), options), flow_level(sizes, options)
+    per_table, last = table_bytes(first, options), options.max_levels - 1
+    damped_by = {0: base, **{i: i + 1 for i in range(base, last)}}
+    return [(i, want.get(i), per_table[i], i == base, damped_by.get(i)) for i in range(options.max_levels)]
+
+
+POLICY = "level int, target long, table_bytes long, is_base boolean, damped_by int"
+
+
+def level_policy(tables: DataFrame, options: EngineOptions = EngineOptions()) -> DataFrame:
+    """`policy` for the tables: the bytes of each level, one row a level, are what the driver reads."""
+    sizes = {r["level"]: r["size_bytes"] for r in level_totals(tables).collect()}
+    return tables.sparkSession.createDataFrame(policy(sizes, options), POLICY)
+
+
+def level_scores(tables: DataFrame, want: DataFrame, *, level0_tables: int = 15, inflight: DataFrame | None = None) -> DataFrame:
+    """level, score, adjusted of each level; want: as `level_policy` has it; inflight: level, bytes under compaction.
+
+    Level 0 counts tables, others bytes that are not in flight against their target. A level that is due is divided by the
+    score of the level it flows into, 0.01 at least, so that a full level below goes first.
     """
-    busy = inflight or {}
-    score = {0: levels.get(0, (0, 0))[0] / options.level0_tables}
-    for level in range(1, options.max_levels):
-        score[level] = (levels.get(level, (0, 0))[1] - busy.get(level, 0)) / want[level]
-    adjusted, upper = dict(score), 0
-    for level in range(base, options.max_levels):
-        if adjusted[upper] >= 1:
-            adjusted[upper] /= max(score[level], 0.01) if score[level] < 0.01 else adjusted[level]
-        upper = level
-    due = [(n, score[n], adjusted[n]) for n in range(options.max_levels - 1) if score[n] >= 1]
-    return sorted(due, key=lambda x: -x[2])
-
-
-def level_scores(tables: DataFrame, want: DataFrame, level0_tables: int = 15) -> DataFrame:
-    """The same as a plan: level, score, adjusted; want: level, target. Levels are at most a handful of rows."""
-    totals = want.join(tables.groupBy("level").agg(F.count("*").alias("tables"), F.sum("size_bytes").alias("size_bytes")), "level", "left")
+    totals = tables.groupBy("level").agg(F.count("*").alias("tables"), F.sum("size_bytes").alias("size_bytes"))
+    if inflight is not None:
+        busy = inflight.groupBy("level").agg(F.sum("bytes").alias("busy"))
+        totals = totals.join(busy, "level", "left").withColumn("size_bytes", F.col("size_bytes") - F.coalesce("busy", F.lit(0)))
     score = F.when(F.col("level") == 0, F.coalesce("tables", F.lit(0)) / level0_tables).otherwise(F.coalesce("size_bytes", F.lit(0)) / F.col("target"))
-    scored = totals.withColumn("score", score)
-    below = F.lead("score").over(Window.orderBy("level"))
-    adjusted = F.when((F.col("score") >= 1) & below.isNotNull(), F.col("score") / F.greatest(below, F.lit(0.01))).otherwise(F.col("score"))
-    return scored.withColumn("adjusted", adjusted).select("level", "score", "adjusted")
+    scored = want.join(totals, "level", "left").select("level", "damped_by", score.alias("score"))
+    below = scored.select(F.col("level").alias("below"), F.col("score").alias("below_score"))
+    adjusted = F.when((F.col("score") >= 1) & F.col("below_score").isNotNull(), F.col("score") / F.greatest("below_score", F.lit(0.01))).otherwise(F.col("score"))
+    return scored.join(below, F.col("damped_by") == F.col("below"), "left").select("level", "score", adjusted.alias("adjusted"))
+
+
+def due(scores: DataFrame, last: int) -> DataFrame:
+    """Levels to compact, most urgent first: those with a score of 1 or more; the last level flows nowhere."""
+    return scores.where((F.col("score") >= 1) & (F.col("level") < last)).orderBy(F.desc("adjusted"), "level")
 
 
 def pick(tables: DataFrame, level: int, next_level: int, *, order: str = "max_version", desc: bool = False) -> DataFrame:
@@ -97,6 +105,50 @@ def pick(tables: DataFrame, level: int, next_level: int, *, order: str = "max_ve
     return first.unionByName(below)
 
 
+def fill_level0(tables: DataFrame, base: int) -> DataFrame:
+    """Level-0 tables, oldest first as long as each overlaps what was taken before, and the tables of `base` in their range.
+
+    The windows run over the tables of level 0, which are few by design.
+    """
+    before = Window.orderBy("table_id").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.orderBy("table_id")
+    apart = (F.col("max_key") < F.min("min_key").over(before)) | (F.col("min_key") > F.max("max_key").over(before))
+    level0 = tables.where("level = 0").withColumn("apart", F.coalesce(apart, F.lit(False)))
+    top = level0.withColumn("cut", F.max("apart").over(upto)).where("NOT cut").drop("apart", "cut")
+    return top.unionByName(in_range(tables.where(F.col("level") == base), top))
+
+
+def in_range(tables: DataFrame, of: DataFrame) -> DataFrame:
+    """The tables that share a key with the range of `of` (one row: its least and greatest key)."""
+    lo_hi = of.agg(F.min("min_key").alias("lo"), F.max("max_key").alias("hi"))
+    return tables.join(F.broadcast(lo_hi), (F.col("min_key") <= F.col("hi")) & (F.col("max_key") >= F.col("lo"))).drop("lo", "hi")
+
+
+def fill_last(tables: DataFrame, level: int, need: int, *, min_stale: int = 10 << 20, created_before: object = None) -> DataFrame:
+    """The most stale table of the last level that is worth it, and the tables after it by key as long as all stay below `need` bytes."""
+    first = pick_stale(tables, level=level, min_stale=min_stale, created_before=created_before).limit(1)
+    one = first.select(F.col("min_key").alias("lo"), F.col("table_id").alias("it"), F.col("size_bytes").alias("held"))  # one row
+    after = tables.where(F.col("level") == level).join(F.broadcast(one), F.struct("min_key", "table_id") > F.struct("lo", "it"))
+    total = F.col("held") + F.sum("size_bytes").over(Window.orderBy("min_key", "table_id"))  # tables of one level: metadata
+    return first.unionByName(after.withColumn("total", total).where(F.col("total") < need).select(first.columns))
+
+
+def split_at_tables(tables: DataFrame) -> DataFrame:
+    """part, after, upto: about five ranges (after, upto] of keys that end where tables end; the last has no end."""
+    n = Window.orderBy("min_key", "table_id")
+    every = Window.partitionBy()
+    width = F.greatest(F.lit(3), F.ceil(F.count("*").over(every) / 5)).cast("int")
+    parts = tables.withColumn("part", F.floor((F.row_number().over(n) - 1) / width).cast("int")).groupBy("part").agg(F.max("max_key").alias("upto"))
+    w = Window.orderBy("part")
+    return parts.select("part", F.lag("upto").over(w).alias("after"), F.when(F.lead("part").over(w).isNotNull(), F.col("upto")).alias("upto"))
+
+
+def dropped_bytes(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """fid, bytes: what the value log holds for rows that a compaction leaves out."""
+    gone = rows.where("vptr IS NOT NULL").join(kept.where("vptr IS NOT NULL").select("key", "version", "seq"), ["key", "version", "seq"], "left_anti")
+    return gone.groupBy(F.col("vptr.fid").alias("fid")).agg(F.sum("vptr.len").alias("bytes"))
+
+
 def pick_level0(tables: DataFrame, *, min_tables: int = 4, max_bytes: int | None = None, created_before: object = None) -> DataFrame:
     """Level-0 tables that may be merged among themselves: small and old enough; none if fewer than `min_tables`."""
     small = tables.where(F.col("level") == 0)

@@ -70,7 +70,40 @@ def table_for_key(keys: DataFrame, tables: DataFrame) -> DataFrame:
     return at.join(near, (F.col("bucket") == F.col("its")) & (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))).select("key", "table_id")
 
 
+def is_empty(lo: Column, hi: Column) -> Column:
+    """A range without keys: no bounds, or bounds the wrong way round."""
+    return lo.isNull() | hi.isNull() | (lo > hi)
+
+
+def equals(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
+    """The same keys; all empty ranges are equal."""
+    both = is_empty(lo_a, hi_a) & is_empty(lo_b, hi_b)
+    return F.coalesce(both | ((lo_a == lo_b) & (hi_a == hi_b) & ~is_empty(lo_a, hi_a)), F.lit(False))
+
+
+def overlapped_below(tables: DataFrame, level: int) -> DataFrame:
+    """Tables of a level that share a key with any table of a lower level."""
+    upper = tables.where(F.col("level") == level)
+    pairs = overlap_pairs(upper.unionByName(tables.where(F.col("level") > level)))
+    sides = pairs.union(pairs.select("b", "a")).toDF("table_id", "other")
+    lower = tables.where(F.col("level") > level).select(F.col("table_id").alias("other"))
+    return upper.join(sides.join(lower, "other", "left_semi"), "table_id", "left_semi")
+
+
 def split(keys: DataFrame, parts: int) -> DataFrame:
-    """part, lo, hi, n: `parts` ranges of neighbouring distinct keys of equal count."""
-    w = Window.orderBy("key")
-    return keys.select("key").distinct().withColumn("part", F.ntile(parts).over(w)).groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"))
+    """part, lo, hi, n: `parts` ranges of neighbouring distinct keys of equal count (the first ones hold one more if need be).
+
+    Keys are ranked without a global window: range partitions are counted, and the counts summed up; a
+    key's rank is its place in its partition after all before. One row a partition is summed in one task.
+    """
+    dealt = keys.where("key IS NOT NULL").select("key").distinct().repartitionByRange("key").withColumn("piece", F.spark_partition_id())
+    own = F.row_number().over(Window.partitionBy("piece").orderBy("key"))
+    sizes = dealt.groupBy("piece").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    w = Window.orderBy("least")
+    before = sizes.select("least", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    # A piece is named by its least key, as partition numbers may differ from one evaluation to the next.
+    ranked = dealt.withColumn("place", own).withColumn("least", F.min("key").over(Window.partitionBy("piece"))).join(F.broadcast(before), "least")
+    at = F.col("before") + F.col("place") - 1
+    size, more = F.floor(F.col("total") / parts), F.col("total") % parts
+    part = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
+    return ranked.withColumn("part", part.cast("int")).groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"))

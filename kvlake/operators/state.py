@@ -65,3 +65,18 @@ def history(log: DataFrame) -> DataFrame:
 def stale(log: DataFrame) -> DataFrame:
     """Versions that a newer one of their key covers."""
     return history(log).where("age > 1")
+
+
+def as_of_join(asked: DataFrame, log: DataFrame, *, key: str = "key", at: str = "at", recent: tuple[str, ...] = RECENT) -> DataFrame:
+    """`asked` (key, at and more) with the newest row of its key among versions up to `at`, a bound of its own for each row; null columns if there is none.
+
+    Questions and versions of a key stand in one order, and each question takes the last version before it; that is one
+    shuffle and one sort, not a join of each question with all versions of its key.
+    """
+    held = [c for c in log.columns if c != key]
+    stream = log.select(key, F.col(recent[0]).alias("__at"), F.lit(0).alias("__kind"), F.struct(*recent).alias("__recent"), F.struct(*held).alias("__row"))
+    null = lambda c: F.lit(None).cast(stream.schema[c].dataType).alias(c)
+    questions = asked.select(key, F.col(at).cast(stream.schema["__at"].dataType).alias("__at"), F.lit(1).alias("__kind"), null("__recent"), null("__row"), F.struct("*").alias("__asked"))
+    w = Window.partitionBy(key).orderBy("__at", "__kind", "__recent").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = stream.unionByName(questions, allowMissingColumns=True).withColumn("__last", F.last("__row", ignorenulls=True).over(w)).where("__kind = 1")
+    return found.select("__asked.*", *[F.col(f"__last.{c}").alias(c) for c in held])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as fk
@@ -85,6 +85,17 @@ def kv_as_of(spark, sf_dir):
     return _shown(state.live(log))
 
 
+@query(_LOG + """, asked AS (SELECT o_orderkey, lpad(CAST(o_custkey % 200 AS VARCHAR), 8, '0') AS key, o_orderdate + INTERVAL 20 YEAR AS at FROM orders),
+found AS (SELECT a.o_orderkey, a.key, l.seq, l.value, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY l.version DESC, l.seq DESC) AS r FROM asked a LEFT JOIN log l ON a.key = l.key AND l.version <= a.at)
+SELECT o_orderkey, key, seq AS event_id, value FROM found WHERE r = 1""")
+def kv_as_of_join(spark, sf_dir):
+    """For each order the newest event of its user up to a time of its own."""
+    at = F.col("o_orderdate") + F.expr("INTERVAL '20' YEAR")
+    asked = _t(spark, sf_dir, "orders").select("o_orderkey", F.lpad((F.col("o_custkey") % 200).cast("string"), 8, "0").alias("key"), at.alias("at"))
+    log = events_log(spark, sf_dir).select("key", "version", "seq", "value")
+    return state.as_of_join(asked, log).select("o_orderkey", "key", F.col("seq").alias("event_id"), "value")
+
+
 @query(_LOG + _SHOW + f"live WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}'")
 def kv_ttl_live(spark, sf_dir):
     rows = state.winners(events_log(spark, sf_dir))
@@ -96,9 +107,9 @@ def kv_point_get(spark, sf_dir):
     return _shown(scan.get(events_log(spark, sf_dir), "00000042"))
 
 
-@query(_LOG + ", asked AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer WHERE c_custkey <= 200) SELECT a.key, l.seq AS event_id, l.value, l.key IS NOT NULL AS found FROM asked a LEFT JOIN live l ON a.key = l.key")
+@query(_LOG + ", asked AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer) SELECT a.key, l.seq AS event_id, l.value, l.key IS NOT NULL AS found FROM asked a LEFT JOIN live l ON a.key = l.key")
 def kv_multi_get(spark, sf_dir):
-    asked = _t(spark, sf_dir, "customer").where("c_custkey <= 200").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("key"))
+    asked = _t(spark, sf_dir, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("key"))
     return scan.multi_get(events_log(spark, sf_dir), asked).select("key", F.col("seq").alias("event_id"), "value", "found")
 
 
@@ -171,15 +182,14 @@ def kv_stats(spark, sf_dir):
 # --- writes
 
 
-@query(_LOG + """, base AS (SELECT *, 1 AS tier FROM log WHERE version < TIMESTAMP '2024-01-15' AND CAST(key AS BIGINT) % 2 = 0),
-delta AS (SELECT *, 0 AS tier FROM log WHERE version >= TIMESTAMP '2024-01-15' AND CAST(key AS BIGINT) % 3 = 0)
+@query(_LOG + """, base AS (SELECT *, 1 AS tier FROM log WHERE version < TIMESTAMP '2024-01-15'),
+delta AS (SELECT *, 0 AS tier FROM log WHERE version >= TIMESTAMP '2024-01-15')
 SELECT key, seq AS event_id, tier FROM (
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY tier, version DESC, seq DESC) AS r FROM (SELECT * FROM base UNION ALL SELECT * FROM delta)
 ) WHERE r = 1 AND op <> 'DEL'""")
 def kv_upsert_overlay(spark, sf_dir):
-    log, user, half = events_log(spark, sf_dir), F.col("key").cast("long"), _ntz("2024-01-15 00:00:00")
-    base = log.where((F.col("version") < half) & (user % 2 == 0))
-    delta = log.where((F.col("version") >= half) & (user % 3 == 0))
+    log, half = events_log(spark, sf_dir), _ntz("2024-01-15 00:00:00")
+    base, delta = log.where(F.col("version") < half), log.where(F.col("version") >= half)
     return merge.overlay(base, delta).select("key", F.col("seq").alias("event_id"), "tier")
 
 
@@ -238,8 +248,7 @@ def lsm_stale_bytes(spark, sf_dir):
 
 def _part_tables(spark, sf_dir) -> DataFrame:
     """Parts as table metadata: level, bytes, stale bytes, a key range that overlaps some neighbours."""
-    p = _t(spark, sf_dir, "part").where("p_partkey <= 400")
-    return p.select(
+    return _t(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("table_id"), (F.col("p_partkey") % 7).cast("int").alias("level"), (F.col("p_size") * 1_000_000).cast("long").alias("size_bytes"),
         (F.col("p_size") * F.col("p_size") * 1000).cast("long").alias("stale_bytes"), (F.col("p_partkey") * 10).alias("min_key"), (F.col("p_partkey") * 10 + F.col("p_size")).alias("max_key"),
         (F.col("p_partkey") * 7 % 101).alias("max_version"), (F.col("p_partkey") * 13 % 97).alias("created_at"),
@@ -249,7 +258,7 @@ def _part_tables(spark, sf_dir) -> DataFrame:
 _PARTS = """WITH tables AS (
   SELECT p_partkey AS table_id, CAST(p_partkey % 7 AS INTEGER) AS level, CAST(p_size AS BIGINT) * 1000000 AS size_bytes, CAST(p_size AS BIGINT) * p_size * 1000 AS stale_bytes,
          p_partkey * 10 AS min_key, p_partkey * 10 + p_size AS max_key, p_partkey * 7 % 101 AS max_version, p_partkey * 13 % 97 AS created_at
-  FROM part WHERE p_partkey <= 400
+  FROM part
 )"""
 
 
@@ -258,23 +267,43 @@ def lsm_level_totals(spark, sf_dir):
     return compaction.level_totals(_part_tables(spark, sf_dir))
 
 
-@query(_PARTS + """, totals AS (SELECT level, CAST(sum(size_bytes) AS BIGINT) AS s FROM tables GROUP BY level), size AS (SELECT coalesce(sum(s), 0)::BIGINT AS last FROM totals WHERE level = 6)
-SELECT CAST(l AS INTEGER) AS level, greatest(CAST(last // CAST(pow(10, 6 - l) AS BIGINT) AS BIGINT), 10485760) AS target FROM size, range(1, 7) t(l)""")
+# The policy from its formulas: shares of the last level's bytes by powers of 10, base and table bytes from them.
+_POLICY = _PARTS + """, size AS (SELECT l AS level, coalesce(CAST(sum(size_bytes) AS BIGINT), 0) AS s, count(table_id) AS n FROM (SELECT CAST(range AS INTEGER) AS l FROM range(0, 7)) LEFT JOIN tables ON level = l GROUP BY l),
+shares AS (SELECT level, s, n, (SELECT s FROM size WHERE level = 6) // CAST(pow(10, 6 - level) AS BIGINT) AS share FROM size),
+first AS (SELECT coalesce(max(level) FILTER (WHERE level > 0 AND share <= 10485760), 0) AS f FROM shares),
+slid AS (SELECT f, greatest(f, coalesce((SELECT min(level) FROM size, first WHERE level > f AND level < 6 AND s > 0), 6) - 1) AS b0 FROM first),
+based AS (SELECT f, CASE WHEN b0 < 6 AND (SELECT s FROM size WHERE level = b0) = 0 AND (SELECT s FROM size WHERE level = b0 + 1) < (SELECT greatest(share, 10485760) FROM shares WHERE level = b0 + 1) THEN b0 + 1 ELSE b0 END AS base FROM slid),
+policy AS (SELECT level, s, n, CASE WHEN level > 0 THEN CAST(greatest(share, 10485760) AS BIGINT) END AS target, base, f FROM shares, based)
+"""
+
+
+@query(_POLICY + "SELECT level, target, CAST(CASE WHEN level = 0 THEN 67108864 ELSE 5242880 * pow(2, greatest(0, level - f)) END AS BIGINT) AS table_bytes, level = base AS is_base FROM policy")
 def lsm_level_targets(spark, sf_dir):
-    """Targets of levels 1 to 6 from the size of the last."""
-    sizes = {r["level"]: r["size_bytes"] for r in compaction.level_totals(_part_tables(spark, sf_dir)).collect()}  # one row a level
-    _, want, _ = compaction.targets(sizes)
-    return spark.createDataFrame([(k, v) for k, v in want.items()], "level int, target long")
+    """Targets, table sizes and base level from the sizes of the levels."""
+    return compaction.level_policy(_part_tables(spark, sf_dir)).select("level", "target", "table_bytes", "is_base")
+
+
+_SCORES = _POLICY.rstrip() + """, scored AS (SELECT level, base, CASE WHEN level = 0 THEN n / 15.0::DOUBLE ELSE s::DOUBLE / target END AS score FROM policy),
+damped AS (SELECT a.level, a.score, CASE WHEN a.score >= 1 AND b.score IS NOT NULL THEN a.score / greatest(b.score, 0.01::DOUBLE) ELSE a.score END AS adjusted
+  FROM scored a LEFT JOIN scored b ON b.level = CASE WHEN a.level = 0 THEN a.base WHEN a.level >= a.base THEN a.level + 1 END)
+"""
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    t = _part_tables(spark, sf_dir)
+    return compaction.level_scores(t, compaction.level_policy(t))
 
 
-@query(_PARTS + """, totals AS (SELECT level, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS s FROM tables GROUP BY level),
-want AS (SELECT CAST(l AS INTEGER) AS level, CAST(10485760 * pow(10, l) AS BIGINT) AS target FROM range(0, 7) t(l)),
-scored AS (SELECT w.level, CASE WHEN w.level = 0 THEN coalesce(n, 0) / 15.0::DOUBLE ELSE coalesce(s, 0)::DOUBLE / target END AS score FROM want w LEFT JOIN totals t ON w.level = t.level)
-SELECT level, round(score, 9) AS score, round(CASE WHEN score >= 1 AND lead(score) OVER (ORDER BY level) IS NOT NULL THEN score / greatest(lead(score) OVER (ORDER BY level), 0.01) ELSE score END, 9) AS adjusted FROM scored""")
+@query(_SCORES + "SELECT level, round(score, 9) AS score, round(adjusted, 9) AS adjusted FROM damped")
 def lsm_level_scores(spark, sf_dir):
-    want = spark.range(7).select(F.col("id").cast("int").alias("level"), (F.lit(10485760) * F.pow(F.lit(10.0), F.col("id"))).cast("long").alias("target"))
-    r = compaction.level_scores(_part_tables(spark, sf_dir), want)
-    return r.select("level", F.round("score", 9).alias("score"), F.round("adjusted", 9).alias("adjusted"))
+    return _scores(spark, sf_dir).select("level", F.round("score", 9).alias("score"), F.round("adjusted", 9).alias("adjusted"))
+
+
+@query(_SCORES + "SELECT level, CAST(row_number() OVER (ORDER BY adjusted DESC, level) AS INTEGER) AS urgency FROM damped WHERE score >= 1 AND level < 6")
+def lsm_due_levels(spark, sf_dir):
+    """Levels to compact, most urgent first."""
+    due = compaction.due(_scores(spark, sf_dir), 6)  # a row a level
+    return due.select("level", F.row_number().over(Window.orderBy(F.desc("adjusted"), "level")).alias("urgency"))
 
 
 @query(_PARTS + " SELECT a.table_id AS a, b.table_id AS b FROM tables a JOIN tables b ON a.table_id < b.table_id AND a.min_key <= b.max_key AND a.max_key >= b.min_key")
@@ -308,6 +337,36 @@ def lsm_pick_tables(spark, sf_dir):
     return compaction.pick(_part_tables(spark, sf_dir), 1, 2).select("table_id", "level")
 
 
+@query(_PARTS + """, wide AS (SELECT * REPLACE (max_key + 60 AS max_key) FROM tables), z AS (SELECT *, max(max_key) OVER w AS hi, min(min_key) OVER w AS lo FROM wide WHERE level = 0 WINDOW w AS (ORDER BY table_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+top AS (SELECT * FROM z WHERE table_id < coalesce((SELECT min(table_id) FROM z WHERE min_key > hi OR max_key < lo), 1e18::BIGINT))
+SELECT table_id, level FROM top UNION ALL SELECT t.table_id, t.level FROM wide t WHERE level = 3 AND min_key <= (SELECT max(max_key) FROM top) AND max_key >= (SELECT min(min_key) FROM top)""")
+def lsm_fill_level0(spark, sf_dir):
+    """Overlapping tables of level 0 from the oldest on, and what they overlap in level 3; ranges are widened so that some overlap."""
+    wide = _part_tables(spark, sf_dir).withColumn("max_key", F.col("max_key") + 60)
+    return compaction.fill_level0(wide, 3).select("table_id", "level")
+
+
+@query(_PARTS + """, first AS (SELECT * FROM tables WHERE level = 6 AND stale_bytes >= 1000000 AND created_at <= 80 ORDER BY stale_bytes DESC, table_id LIMIT 1),
+after AS (SELECT t.*, f.size_bytes + sum(t.size_bytes) OVER (ORDER BY t.min_key, t.table_id) AS total FROM tables t, first f WHERE t.level = 6 AND t.min_key > f.min_key)
+SELECT table_id FROM first UNION ALL SELECT table_id FROM after WHERE total < 200000000""")
+def lsm_fill_last(spark, sf_dir):
+    """The most stale table of the last level and those after it, up to 200 MB together."""
+    return compaction.fill_last(_part_tables(spark, sf_dir), 6, 200_000_000, min_stale=1_000_000, created_before=80).select("table_id")
+
+
+@query(_PARTS + """, n AS (SELECT *, row_number() OVER (ORDER BY min_key, table_id) - 1 AS spot, greatest(3, CAST(ceil(count(*) OVER () / 5.0) AS BIGINT)) AS width FROM tables WHERE level = 5),
+p AS (SELECT CAST(spot // width AS INTEGER) AS part, max(max_key) AS upto FROM n GROUP BY 1)
+SELECT part, lag(upto) OVER (ORDER BY part) AS after, CASE WHEN lead(part) OVER (ORDER BY part) IS NOT NULL THEN upto END AS upto FROM p""")
+def lsm_split_at_tables(spark, sf_dir):
+    return compaction.split_at_tables(_part_tables(spark, sf_dir).where("level = 5"))
+
+
+@query(_PARTS + " SELECT DISTINCT t.table_id FROM tables t JOIN tables u ON t.level = 4 AND u.level > 4 AND t.min_key <= u.max_key AND t.max_key >= u.min_key")
+def lsm_overlapped_below(spark, sf_dir):
+    """Tables of level 4 that lower levels overlap."""
+    return ranges.overlapped_below(_part_tables(spark, sf_dir), 4).select("table_id")
+
+
 @query(_PARTS + ", small AS (SELECT * FROM tables WHERE level = 0 AND size_bytes < 20000000 AND created_at < 60) SELECT table_id FROM small WHERE (SELECT count(*) FROM small) >= 4")
 def lsm_pick_level0(spark, sf_dir):
     return compaction.pick_level0(_part_tables(spark, sf_dir), max_bytes=20_000_000, created_before=60).select("table_id")
@@ -486,17 +545,36 @@ def cache_reaccess(spark, sf_dir):
     return cache.reaccess(events_log(spark, sf_dir), "seq")
 
 
-@query()
+# Three numbers of 32 bits from a key's MD5.
+_HALVES = "CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(md5(key), 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(md5(key), 17, 8) AS BIGINT) AS h3"
+_COUNTERS = f"""WITH f AS (SELECT lpad(CAST(user_id AS VARCHAR), 8, '0') AS key, count(*) AS n FROM events GROUP BY 1), h AS (SELECT *, {_HALVES} FROM f),
+placed AS (SELECT key, n, CAST(i AS INTEGER) AS i, (h1 + i * h2) % 512 AS slot FROM h, range(0, 4) t(i)), total AS (SELECT i, slot, CAST(sum(n) AS BIGINT) AS t FROM placed GROUP BY i, slot)
+"""
+
+
+@query(_COUNTERS + "SELECT key, min(t) AS estimate FROM placed JOIN total USING (i, slot) GROUP BY key")
 def cache_count_min(spark, sf_dir):
     """Estimates are never below the true counts."""
     return sketches.count_min_estimates(events_log(spark, sf_dir), "key", width=512)
 
 
-@query()
+@query(_COUNTERS + "SELECT key, min(least(t, 15)) AS estimate FROM placed JOIN total USING (i, slot) GROUP BY key")
+def cache_count_min4(spark, sf_dir):
+    """The same with counters of four bits, which stick at 15."""
+    return sketches.count_min_estimates(events_log(spark, sf_dir), "key", width=512, most=15)
+
+
+@query(f"""WITH keys AS (SELECT DISTINCT lpad(CAST(user_id AS VARCHAR), 8, '0') AS key FROM events), sizes AS (SELECT greatest(64, count(*) * 10) AS bits FROM keys),
+shape AS (SELECT CAST(ceil(bits / 1048576.0) AS BIGINT) AS parts, CAST(ceil(bits / ceil(bits / 1048576.0)) AS BIGINT) AS own FROM sizes),
+h AS (SELECT key, {_HALVES} FROM keys), held AS (SELECT DISTINCT h3 % parts AS part, (h1 + i * h2) % own AS place FROM h, shape, range(0, 6) t(i)),
+p AS (SELECT key, {_HALVES} FROM (SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS key FROM customer)),
+probe AS (SELECT key, h3 % parts AS part, (h1 + i * h2) % own AS place FROM p, shape, range(0, 6) t(i))
+SELECT key FROM probe LEFT JOIN held USING (part, place) GROUP BY key HAVING count(*) = count(held.place)""")
 def bloom_prune(spark, sf_dir):
-    """Keys of customers that the Bloom filter of event keys lets pass."""
-    bits, k = sketches.bloom_bits(20_000, 0.01), sketches.bloom_hashes(sketches.bloom_bits_per_key(0.01))
-    built = sketches.bloom_filter(events_log(spark, sf_dir), "key", bits=bits, hashes=k)
+    """Keys of customers that the Bloom filter of event keys lets pass; it is sized for the keys there are."""
+    keys = events_log(spark, sf_dir).select("key").distinct()
+    bits, k = sketches.bloom_bits(keys.count(), 0.01), sketches.bloom_hashes(sketches.bloom_bits_per_key(0.01))
+    built = sketches.bloom_filter(keys, "key", bits=bits, hashes=k)
     probe = _t(spark, sf_dir, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("key"))
     return sketches.might_contain(probe, "key", built, bits=bits, hashes=k).where("might_contain").select("key")
 
@@ -540,18 +618,50 @@ def fn_epoch(spark, sf_dir):
     return e.select("event_id", "seconds", (F.col("seconds") <= 1705276800).alias("expired"))
 
 
-@query("SELECT p_partkey, CAST(len(list_filter(range(1, 9), lambda i: p_name[1:i] = p_type[1:i])) AS INTEGER) AS shared FROM part")
+@query("SELECT p_partkey, CAST(len(list_filter(range(1, least(length(p_name), length(p_type)) + 1), lambda i: p_name[1:i] = p_type[1:i])) AS INTEGER) AS shared FROM part")
 def fn_common_prefix(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
-    return p.select("p_partkey", fk.common_prefix(F.substring("p_name", 1, 8), F.substring("p_type", 1, 8)).alias("shared"))
+    return p.select("p_partkey", fk.common_prefix(F.col("p_name"), F.col("p_type")).alias("shared"))
+
 
+_CODES = "list_transform(string_split(p_name, ''), lambda c: CAST(ord(c) AS UBIGINT))"
 
-@query()
+
+@query(f"""WITH t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 2197175160))) AS crc)
+SELECT p_partkey, CAST(xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], {_CODES}), lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) AS BIGINT) AS crc FROM part, t""")
 def fn_crc32c(spark, sf_dir):
     d = _t(spark, sf_dir, "part")
     return d.select("p_partkey", sketches.crc32c(F.col("p_name")).alias("crc"))
 
 
+@query(f"""WITH b AS (SELECT p_partkey, {_CODES} AS b, CAST(length(p_name) AS UBIGINT) AS n FROM part),
+w AS (SELECT p_partkey, b, n, list_transform(range(0, CAST(n // 4 AS BIGINT)), lambda i: b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) AS words,
+  list_reduce(list_concat([CAST(0 AS UBIGINT)], list_transform(range(0, CAST(n % 4 AS BIGINT)), lambda i: b[CAST(n - n % 4 AS BIGINT) + i + 1] * CAST(pow(256, i) AS UBIGINT))), lambda x, y: x + y) AS rest FROM b),
+h AS (SELECT p_partkey, n, rest, list_reduce(list_concat([CAST(xor(3164544308, n * 3332679571 % 4294967296) AS UBIGINT)], words), lambda h, x: xor((h + x) % 4294967296 * 3332679571 % 4294967296, ((h + x) % 4294967296 * 3332679571 % 4294967296) >> 16)) AS h FROM w),
+l AS (SELECT p_partkey, n, h, (h + rest) % 4294967296 * 3332679571 % 4294967296 AS x FROM h)
+SELECT p_partkey, CAST(CASE WHEN n % 4 = 0 THEN h ELSE xor(x, x >> 24) END AS BIGINT) AS hash FROM l""")
+def fn_hash32(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", sketches.hash32(F.col("p_name")).alias("hash"))
+
+
+@query("SELECT event_id, array_to_string(list_transform(range(0, greatest(1, (length(bin(event_id * 1000)) + 6) // 7)), lambda i: upper(lpad(format('{:x}', ((event_id * 1000) >> CAST(7 * i AS INTEGER)) & 127 | CASE WHEN i < greatest(1, (length(bin(event_id * 1000)) + 6) // 7) - 1 THEN 128 ELSE 0 END), 2, '0'))), '') AS code, event_id * 1000 AS back FROM events")
+def fn_uvarint(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", fk.uvarint(F.col("event_id") * 1000).alias("b"))
+    return e.select("event_id", F.hex("b").alias("code"), fk.from_uvarint(F.col("b")).alias("back"))
+
+
+@query("SELECT p_partkey, upper(lpad(format('{:x}', strlen(p_name)), 8, '0')) || hex(encode(p_name)) AS slice, p_name AS back FROM part")
+def fn_byte_slices(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", fk.byte_slice(F.col("p_name")).alias("b"))
+    return p.select("p_partkey", F.hex("b").alias("slice"), fk.from_byte_slice(F.col("b")).cast("string").alias("back"))
+
+
+@query("SELECT event_id, CAST(strlen(props) + greatest(1, (length(bin(event_id * 100)) + 6) // 7) + 1 AS BIGINT) AS stored, CAST(strlen(event_type) + strlen(props) + 33 AS BIGINT) AS logged, CAST(strlen(event_type) + strlen(props) + 25 AS BIGINT) AS asked FROM events")
+def fn_record_sizes(spark, sf_dir):
+    key, value = F.col("event_type"), F.col("props")
+    return _t(spark, sf_dir, "events").select("event_id", fk.encoded_size(value, F.col("event_id") * 100).alias("stored"), fk.log_record_size(key, value).alias("logged"), fk.request_size(key, value).alias("asked"))
+
+
 # --- streaming
 
 

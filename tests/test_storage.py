@@ -56,14 +56,70 @@ def test_manifest(spark):
             manifest.check_header(*args)
 
 
-def test_level_policy():
+def test_level_policy(spark):
     mb = 1 << 20
-    base, want, per_table = compaction.targets({6: 5000 * mb, 5: 200 * mb})
+    sizes = {6: 5000 * mb, 5: 200 * mb}
+    want, (first, base) = compaction.target_bytes(sizes[6]), compaction.flow_level(sizes)
     assert want[6] == 5000 * mb and want[5] == 500 * mb and want[4] == 50 * mb and want[3] == 10 * mb
-    assert per_table[1] == 5 * mb and base >= 3
-    due = compaction.scores({0: (45, 0), 5: (10, 1000 * mb)}, base, want)
-    assert {level for level, _, _ in due} == {0, 5}
-    assert compaction.scores({}, *compaction.targets({})[:2]) == []
+    assert compaction.table_bytes(first)[1] == 5 * mb and base >= 3
+    tables = [(i, 0, 0, "a", "b") for i in range(45)] + [(100 + i, 5, 100 * mb, "a", "b") for i in range(10)] + [(200, 6, 5000 * mb, "a", "b")]
+    t = spark.createDataFrame(tables, "table_id long, level int, size_bytes long, min_key string, max_key string").withColumn("stale_bytes", F.lit(0))
+    scores = compaction.level_scores(t, compaction.level_policy(t))
+    assert {r["level"] for r in compaction.due(scores, 6).collect()} == {0, 5}
+    busy = spark.createDataFrame([(5, 600 * mb)], "level int, bytes long")
+    assert {r["level"] for r in compaction.due(compaction.level_scores(t, compaction.level_policy(t), inflight=busy), 6).collect()} == {0}
+    none = t.limit(0)
+    assert compaction.due(compaction.level_scores(none, compaction.level_policy(none)), 6).isEmpty()
+    assert compaction.flow_level({})[1] == 6 and compaction.flow_level({6: 10**12}) == (1, 5)
+
+
+def test_flow_level_walks_up_and_slides_down():
+    from itertools import product
+
+    mb = 1 << 20
+    for sizes in product((0, mb, 300 * mb), (0, 20 * mb), (0, 5 * mb), (0, 50 * mb, 10**11)):
+        held = dict(zip((3, 4, 5, 6), sizes, strict=True))
+        size, base = held[6], 0  # the rule as a walk
+        for level in range(6, 0, -1):
+            if not base and size <= 10 * mb:
+                base = level
+            size //= 10
+        assert compaction.flow_level(held)[0] == base
+        for level in range(base + 1, 6):
+            if held.get(level, 0):
+                break
+            base = level
+        if base < 6 and not held.get(base, 0) and held.get(base + 1, 0) < compaction.target_bytes(held[6])[base + 1]:
+            base += 1
+        assert compaction.flow_level(held)[1] == base, held
+
+
+def test_fills(spark):
+    rows = [(1, 0, "a", "d", 5, 0, 0), (2, 0, "c", "g", 5, 0, 0), (3, 0, "x", "z", 5, 0, 0), (4, 0, "f", "h", 5, 0, 0), (5, 3, "g", "k", 5, 0, 0), (6, 3, "l", "m", 5, 0, 0)]
+    rows += [(10 + i, 6, f"k{i}", f"k{i}z", 40, 100 - i * (i % 2), i) for i in range(7)]
+    t = spark.createDataFrame(rows, "table_id long, level int, min_key string, max_key string, size_bytes long, stale_bytes long, created_at long")
+    ids = lambda df: sorted(r["table_id"] for r in df.collect())
+    assert ids(compaction.fill_level0(t, 3)) == [1, 2, 5]
+    assert ids(compaction.fill_level0(t.where("level <> 0"), 3)) == []
+    assert ids(compaction.fill_last(t, 6, 130, min_stale=50)) == [10, 11, 12]
+    assert ids(compaction.fill_last(t, 6, 40, min_stale=50)) == [10] and ids(compaction.fill_last(t, 6, 130, min_stale=500)) == []
+    parts = [tuple(r) for r in compaction.split_at_tables(t.where("level = 6")).orderBy("part").collect()]
+    assert parts == [(0, None, "k2z"), (1, "k2z", "k5z"), (2, "k5z", None)]
+    assert ids(ranges.overlapped_below(t, 0)) == [2, 4]
+
+
+def test_split_counts_distinct_keys(spark):
+    for n, parts in ((0, 3), (2, 5), (7, 3), (1000, 7)):
+        keys = spark.range(n).select(F.format_string("%05d", "id").alias("key"))
+        got = [tuple(r) for r in ranges.split(keys.union(keys).repartition(5), parts).orderBy("part").collect()]
+        sizes = [n // parts + (i < n % parts) for i in range(parts)]
+        assert [r[3] for r in got] == [x for x in sizes if x] and all(a[2] < b[1] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_range_algebra(spark):
+    df = spark.createDataFrame([(1, 3, 1, 3), (1, 3, 1, 4), (3, 1, 9, 2), (None, None, 5, 1), (1, 2, None, None)], "a int, b int, c int, d int")
+    r = df.select(ranges.is_empty(F.col("a"), F.col("b")).alias("e"), ranges.equals(*map(F.col, "abcd")).alias("q")).collect()
+    assert [tuple(x) for x in r] == [(False, True), (False, False), (True, True), (True, True), (False, False)]
 
 
 def test_ranges(spark):
@@ -83,13 +139,43 @@ def test_bloom_and_count_min_err_on_one_side(spark):
     assert got.where("id < 2000 AND NOT might_contain").count() == 0
     assert got.where("id >= 2000 AND might_contain").count() < 100
     rows = spark.range(5000).select((F.col("id") % 70).alias("v"))
+    several = sketches.bloom_bits(2000, 1e-9)
+    small = sketches.PART_BITS
+    try:
+        sketches.PART_BITS = 4096  # a filter of several parts
+        built = sketches.bloom_filter(keys, "key", bits=several, hashes=k)
+        assert built.count() == -(-several // 4096)
+        got = sketches.might_contain(probe, "key", built, bits=several, hashes=k)
+        assert got.where("id < 2000 AND NOT might_contain").count() == 0 and got.where("id >= 2000 AND might_contain").count() < 20
+    finally:
+        sketches.PART_BITS = small
     est = sketches.count_min_estimates(rows, "v", width=64)
     assert est.join(rows.groupBy("v").count(), "v").where("estimate < count").count() == 0
     assert sketches.count_min(rows, "v").first()["sketch"]
 
 
 def test_functions(spark):
+    import pandas as pd
+
     assert sketches.crc32c_bytes(b"123456789") == 0xE3069283
+    values = pd.Series([b"", None, b"a", b"abc", b"abcd", b"abcde", b"123456789"])
+    assert sketches.crc32c_rows(values).tolist()[:1] == [0] and pd.isna(sketches.crc32c_rows(values)[1])
+
+    def plain(b):
+        h = 0xBC9F1D34 ^ len(b) * 0xC6A4A793 & 0xFFFFFFFF
+        for i in range(0, len(b) // 4 * 4, 4):
+            h = (h + int.from_bytes(b[i : i + 4], "little")) * 0xC6A4A793 & 0xFFFFFFFF
+            h ^= h >> 16
+        if rest := b[len(b) // 4 * 4 :]:
+            h = (h + int.from_bytes(rest, "little")) * 0xC6A4A793 & 0xFFFFFFFF
+            h ^= h >> 24
+        return h
+
+    assert [x for x in sketches.hash32_rows(values).tolist() if not pd.isna(x)] == [plain(b) for b in values if b is not None]
+    codes = spark.createDataFrame([(0,), (127,), (128,), (300,), (2**62,)], "x long").select("x", fk.uvarint(F.col("x")).alias("b")).select("x", "b", fk.from_uvarint(F.col("b")).alias("y"), fk.byte_slice(F.col("b")).alias("s")).select("*", fk.from_byte_slice(F.col("s")).alias("t")).collect()
+    assert [bytes(r["b"]).hex() for r in codes][:4] == ["00", "7f", "8001", "ac02"] and all(r["x"] == r["y"] and r["b"] == r["t"] for r in codes)
+    top = spark.range(1).select(fk.from_big_endian_unsigned(F.lit(bytearray(b"\xff" * 8)))).first()[0]
+    assert int(top) == 2**64 - 1
     df = spark.createDataFrame([(bytearray(b"ab"), 7), (bytearray(b"\xff"), 0), (bytearray(b"a"), 2**62)], "k binary, v long")
     r = df.select("k", "v", fk.internal_key(F.col("k"), F.col("v")).alias("i")).select("*", fk.user_key(F.col("i")).alias("u"), fk.key_version(F.col("i")).alias("w"), sketches.crc32c(F.col("k")).alias("c")).collect()
     assert all(x["k"] == x["u"] and x["v"] == x["w"] and x["c"] == sketches.crc32c_bytes(bytes(x["k"])) for x in r)
@@ -109,6 +195,35 @@ def test_cache():
     assert c.get("key1") == "again" and c.delete("key1") == "again" and c.get("key1") is None
 
 
+def test_counters_stick_and_fade():
+    c, d = cache.CountMin4(64), cache.Doorkeeper(100)
+    for _ in range(40):
+        c.add("x")
+    assert c.estimate("x") == 15 and c.estimate("never") == 0
+    c.halve()
+    assert c.estimate("x") == 7
+    c.clear()
+    assert c.estimate("x") == 0
+    assert not d.knows("x") and d.knows("x")
+    d.clear()
+    assert not d.knows("x")
+    held = cache.TinyLfu(2)
+    held.set("a", 1), held.set("b", 2)
+    for _ in range(5):
+        held.get("a"), held.get("b")
+    held.set("once", 3), held.set("c", 4)
+    assert {"a", "b"} & set(held.keys()) and "once" not in held.keys()
+
+
+def test_as_of_join(spark):
+    from kvlake.operators import state
+
+    log = spark.createDataFrame([("a", 1, 1, "x"), ("a", 3, 1, "y"), ("a", 3, 2, "z"), ("b", 5, 1, "w")], "key string, version long, seq long, value string")
+    asked = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("a", 2, 3), ("a", 3, 4), ("b", 4, 5), ("b", 9, 6), ("c", 9, 7), ("a", 2, 8)], "key string, at long, no int")
+    got = {r["no"]: r["value"] for r in state.as_of_join(asked, log).collect()}
+    assert got == {1: None, 2: "x", 3: "x", 4: "z", 5: None, 6: "w", 7: None, 8: "x"}
+
+
 def test_engine(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "db"), S.EngineOptions(value_threshold=100))
     rows = spark.createDataFrame([(f"key{i:02d}".encode(), (b"v" * (i * 10))) for i in range(20)], "key binary, value binary")
