@@ -5,7 +5,7 @@ The suffixes of a string of symbols are sorted from those at its local minima
 sends the one before each into the queue if that is larger; a sweep downward does the same for smaller
 ones, and after both all suffixes are sorted, given the order of the S* suffixes. That order comes from the
 same two sweeps over unsorted S* places, which sort the substrings from one to the next; if two substrings are
-equal, their names make a shorter string, which is sorted by recursion.
+equal, their names make a shorter string, which is sorted by recursion, or by doubling ranks in memory once it fits there.
 
 The queue holds tuples (symbol, symbol before, place, common prefix with the tuple before) and is served in blocks: as
 many of its least tuples as cannot send anything among themselves are taken at once, so that a block costs a few array
@@ -25,7 +25,7 @@ import numpy as np
 #: Ranges of symbols that the queue keeps apart.
 RANGES = 512
 #: Tuples that the queue holds in memory; longer arrays than that are files.
-BUDGET = 1 << 21
+BUDGET = 1 << 23
 
 
 class DiskQueue:
@@ -266,6 +266,31 @@ def _induce(t: np.ndarray, room: _Room, stars: np.ndarray, cap: int, everything:
     return _sweep(t, room, large[::-1], shared, True, cap, everything)
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of a string that fits in memory, by ranks of prefixes of doubled length; only ties are sorted again."""
+    order = np.argsort(names, kind="stable")
+    held = names[order]
+    first = np.searchsorted(held, held)  # of each group of equals
+    rank = np.empty(len(names) + 1, np.int64)
+    rank[order], rank[-1] = first, -1
+    at = np.flatnonzero(np.bincount(first, minlength=len(names))[first] > 1)
+    left, width = order[at], 1
+    while len(left):
+        own, then = rank[left], rank[np.minimum(left + width, len(names))]
+        o = np.lexsort((then, own))
+        left, own, then = left[o], own[o], then[o]
+        spot = np.arange(len(left))
+        group = np.concatenate([[True], own[1:] != own[:-1]])
+        head = group | np.concatenate([[True], then[1:] != then[:-1]])
+        begin = np.maximum.accumulate(np.where(group, spot, 0))
+        rank[left] = own + np.maximum.accumulate(np.where(head, spot, 0)) - begin
+        alone = head & np.append(head[1:], True)
+        left, width = left[~alone], 2 * width
+    out = np.empty(len(names), np.int64)
+    out[rank[:-1]] = np.arange(len(names))
+    return out
+
+
 def _sort(t: np.ndarray, room: _Room, cap: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(t)
     stars = _stars(t)
@@ -291,6 +316,8 @@ def _sort(t: np.ndarray, room: _Room, cap: int) -> tuple[np.ndarray, np.ndarray]
         names[np.searchsorted(stars, ranked)] = np.concatenate([[0], np.cumsum(~same)])
         if int(names.max()) + 1 == len(stars):
             order = ranked
+        elif len(names) <= room.budget:
+            order = stars[_doubled(np.array(names))]
         else:
             order = stars[_sort(names, room, 0)[0]]
         stars = order

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, drop, fresh_path, write_table
 
-#: Segments of one anchor that a task takes whole.
-GROUP = 512
+#: Segments of one anchor that a task takes whole: about half a megabyte of text.
+GROUP = 4096
 #: Bytes of segments that are compared together, about; groups stay whole.
 SHARD = 4 << 20
 #: Stands for a null id: before all others.

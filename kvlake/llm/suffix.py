@@ -31,8 +31,37 @@ LENGTH = 100
 ANCHOR = 32
 
 
+def alike(anchors: np.ndarray, parts: list[bytes], window: int) -> list[bool]:
+    """Whether a part may share a window with another or with itself: of the bytes besides the anchor, half are to one side of it,
+    and so many are the same, by their hash, beside another of its places."""
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(lengths)
+    part = np.repeat(np.arange(len(parts)), lengths)
+    h = repeats.Bytes().hashes(b"".join(parts))
+    right = (window - ANCHOR) // 2
+    left = window - ANCHOR - right
+    seeds = repeats.anchor_hashes(h, ANCHOR)
+    at = np.flatnonzero(seeds == anchors[part[: len(seeds)]])
+    at = at[at + ANCHOR <= ends[part[at]]]
+    keep = np.zeros(len(parts), bool)
+    for size, start in ((ANCHOR + right, at), (ANCHOR + left, at - left)):
+        if size > len(h):
+            continue
+        ok = (start >= (ends - lengths)[part[at]]) & (start + size <= ends[part[at]])
+        of = part[at[ok]]
+        _, inverse, counts = np.unique(repeats.anchor_hashes(h, size)[start[ok]], return_inverse=True, return_counts=True)
+        keep[of[counts[inverse] > 1]] = True
+    return keep.tolist()
+
+
 def later_windows(anchors: np.ndarray | None, parts: list[bytes], window: int) -> list[list[int]]:
     """The window starts of each part whose bytes also start before: in a part before it, or earlier in its own."""
+    if anchors is not None and window > ANCHOR:
+        keep = alike(anchors, parts, window)
+        found = iter(later_windows(None, [p for p, k in zip(parts, keep, strict=True) if k], window))
+        return [next(found) if k else [] for k in keep]
+    if not parts:
+        return []
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1)
     symbols = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.int32) + 2

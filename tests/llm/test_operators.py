@@ -611,6 +611,30 @@ def test_induced_sorting(budget):
             assert suffix.later_windows(None, parts, 3) == want
 
 
+def test_doubling_equals_recursion():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 30, 400):
+        for top in (1, 2, 50):
+            names = np.concatenate([rng.integers(1, top + 1, n), [0]])
+            names[n // 2 : n // 2 * 2] = names[: n // 2]
+            assert induced._doubled(names).tolist() == sorted(range(n + 1), key=lambda i: names[i:].tolist())
+
+
+def test_parts_that_are_not_alike_have_no_windows():
+    rng = np.random.default_rng(13)
+    base = [bytes(rng.integers(97, 100, 260).astype(np.uint8)) for _ in range(5)]
+    unit, rows = repeats.Bytes(), []
+    for n in range(60):
+        b = bytearray(base[n % 5])
+        for at in rng.integers(0, 260, 3):
+            b[at] = 120 + n % 3
+        for start, size, anchor, _ in zip(*repeats.segments(unit.hashes(bytes(b)), 32, 69), strict=True):
+            rows.append((int(anchor), bytes(b[start : start + size + 99])))
+    anchors, parts = np.array([r[0] for r in rows], np.uint64), [r[1] for r in rows]
+    assert suffix.later_windows(anchors, parts, 100) == suffix.later_windows(None, parts, 100)
+    assert 0 < sum(suffix.alike(anchors, parts, 100)) < len(parts)
+
+
 def test_disk_queue(tmp_path):
     rng = np.random.default_rng(0)
     q = induced.DiskQueue(tmp_path, 8, (np.dtype(np.int32), np.dtype(np.uint8)), 30)
