@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import CREATE, DELETE, BadManifest
+from ..schema import CREATE, DELETE, TABLE_META, BadManifest
 
 MAGIC = "KVLAKE"
 VERSION = 1
@@ -15,10 +15,11 @@ REWRITE_RATIO = 10
 
 
 def fold(changes: DataFrame, order: tuple[str, ...] = ("set_id", "change_no")) -> DataFrame:
-    """table_id, level of tables whose newest change creates them."""
+    """table_id, level (and what else the log says of them) of tables whose newest change creates them."""
     w = Window.partitionBy("table_id").orderBy(*[F.desc(c) for c in order])
     newest = changes.withColumn("__rn", F.row_number().over(w)).where("__rn = 1")
-    return newest.where(F.col("op") == CREATE).select("table_id", "level")
+    more = [f.name for f in TABLE_META if f.name in changes.columns]
+    return newest.where(F.col("op") == CREATE).select("table_id", "level", *more)
 
 
 def faults(changes: DataFrame, order: tuple[str, ...] = ("set_id", "change_no")) -> DataFrame:
@@ -56,7 +57,8 @@ def rewrite_due(creations: int, deletions: int) -> bool:
 
 def snapshot(changes: DataFrame) -> DataFrame:
     """One set of changes that creates the live tables."""
-    return fold(changes).select(F.lit(0).cast("long").alias("set_id"), F.col("table_id").alias("change_no"), "table_id", F.lit(CREATE).alias("op"), "level")
+    live = fold(changes)
+    return live.select(F.lit(0).cast("long").alias("set_id"), F.col("table_id").alias("change_no"), "table_id", F.lit(CREATE).alias("op"), *[c for c in live.columns if c != "table_id"])
 
 
 def check_header(magic: str, version: int, checksum: int, actual: int) -> None:

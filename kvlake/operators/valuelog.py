@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..schema import InvalidRequest
 
 THRESHOLD = 1024
+BAD = "checksum mismatch of value-log record "
 
 
 def is_large(value: Column, threshold: int = THRESHOLD) -> Column:
@@ -34,9 +35,12 @@ def separate(rows: DataFrame, *, fid: Column, order: tuple[str, ...] = ("key",),
     return small.select(names).unionByName(pointers.select(names)), log
 
 
-def resolve(rows: DataFrame, log: DataFrame) -> DataFrame:
-    """`rows` with the values their pointers name."""
-    held = log.select(F.col("fid").alias("__fid"), F.col("offset").alias("__offset"), F.col("value").alias("__value"))
+def resolve(rows: DataFrame, log: DataFrame, *, verify: bool = False) -> DataFrame:
+    """`rows` with the values their pointers name; with `verify` a value that does not match its checksum is an error of the query."""
+    value = F.col("value")
+    if verify:
+        value = F.when(F.crc32("value") == F.col("checksum"), value).otherwise(F.raise_error(F.concat(F.lit(BAD), F.col("fid").cast("string"), F.lit("/"), F.col("offset").cast("string"))))
+    held = log.select(F.col("fid").alias("__fid"), F.col("offset").alias("__offset"), value.alias("__value"))
     joined = rows.join(held, (F.col("vptr.fid") == F.col("__fid")) & (F.col("vptr.offset") == F.col("__offset")), "left")
     return joined.withColumn("value", F.coalesce("value", "__value")).drop("__fid", "__offset", "__value")
 

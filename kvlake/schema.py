@@ -42,6 +42,19 @@ MANIFEST_LOG = T.StructType([
 ])
 
 
+#: What the manifest knows of a table besides: its key range, rows, bytes, bytes of rows that no reader needs, newest version, time of creation.
+TABLE_META = [
+    T.StructField("min_key", T.BinaryType()),
+    T.StructField("max_key", T.BinaryType()),
+    T.StructField("key_count", T.LongType()),
+    T.StructField("size_bytes", T.LongType()),
+    T.StructField("stale_bytes", T.LongType()),
+    T.StructField("max_version", T.LongType()),
+    T.StructField("created_at", T.LongType()),
+]
+TABLE_LOG = T.StructType([*MANIFEST_LOG.fields, *TABLE_META])
+
+
 class KvError(Exception):
     """Any error of the engine."""
 
@@ -94,6 +107,8 @@ class EngineOptions:
     max_batch_count, max_batch_size: a batch that reaches either is refused.
     level0_tables: tables in level 0 that make a compaction due; level sizes
     grow by level_multiplier from base_level_size; tables of a level grow by table_multiplier.
+    value_log_file_size: bytes of a value-log file, about. grace_seconds: files that nothing names any more are
+    deleted so long after they were written, so that readers that have begun can end. cached_values: values that point reads keep.
     """
 
     value_threshold: int = 1024
@@ -107,4 +122,6 @@ class EngineOptions:
     table_multiplier: int = 2
     level0_tables: int = 15
     max_levels: int = 7
-    bloom_fpp: float = 0.01
+    value_log_file_size: int = 1 << 30
+    grace_seconds: int = 3600
+    cached_values: int = 1024

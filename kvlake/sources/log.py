@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEL, MAX_KEY_BYTES, PUT, BatchTooBig, EmptyKey, EngineOptions, KeyTooLong
@@ -41,6 +44,18 @@ def check(batch: DataFrame, options: EngineOptions) -> tuple[int, int]:
     return r["n"], r["size"]
 
 
+def grouped(batches: Sequence[DataFrame]) -> DataFrame:
+    """Batches as one, with the batch's place and the row's place in it: later batches win."""
+    tagged = [b.select("key", "op", "value", "expires_at", F.lit(i).cast("long").alias("batch"), F.monotonically_increasing_id().alias("place")) for i, b in enumerate(batches)]
+    return reduce(DataFrame.unionByName, tagged)
+
+
 def stamped(batch: DataFrame, version: int) -> DataFrame:
-    """A batch as log rows of one version; seq is the place in the batch (partition, then row)."""
+    """A batch as log rows of one version; seq is the place in the batch (partition, then row).
+
+    Rows of `grouped` batches are numbered by batch, then place.
+    """
+    if "batch" in batch.columns:
+        w = Window.partitionBy("key").orderBy("batch", "place")  # only rows of one key compete
+        return batch.select("key", F.lit(version).cast("long").alias("version"), F.row_number().over(w).cast("long").alias("seq"), "op", "value", "expires_at")
     return batch.select("key", F.lit(version).cast("long").alias("version"), F.monotonically_increasing_id().alias("seq"), "op", "value", "expires_at")

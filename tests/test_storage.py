@@ -225,7 +225,7 @@ def test_as_of_join(spark):
 
 
 def test_engine(spark, tmp_path):
-    e = Engine(spark, str(tmp_path / "db"), S.EngineOptions(value_threshold=100))
+    e = Engine(spark, str(tmp_path / "db"), S.EngineOptions(value_threshold=100, grace_seconds=0))
     rows = spark.createDataFrame([(f"key{i:02d}".encode(), (b"v" * (i * 10))) for i in range(20)], "key binary, value binary")
     e.write(mutations.puts(rows))
     e.set("key03", "new")
@@ -248,14 +248,18 @@ def test_engine(spark, tmp_path):
     before |= {f"key{i:02d}".encode(): b"s" for i in range(10, 18)}
     with pytest.raises(S.InvalidRequest):
         e.run_value_log_gc(1)
+    held = lambda: sorted((tmp_path / "db" / "vlog").glob("fid=*/*.parquet"))
+    files, size = held(), sum(f.stat().st_size for f in held())
     dropped = e.run_value_log_gc(0.5)
+    assert not (tmp_path / "db" / "vlog" / f"fid={dropped}").exists() and set(files) - set(held())
+    assert sum(f.stat().st_size for f in held()) < size and not list((tmp_path / "db" / "staging").glob("*"))
     assert {bytes(r["key"]): bytes(r["value"]) for r in e.iterate(now=5)} == before
     assert e.value_log().where(F.col("fid") == dropped).isEmpty()
     with pytest.raises(S.NoRewrite):
         e.run_value_log_gc(0.9)
     e.compact(now=5)
     assert {bytes(r["key"]): bytes(r["value"]) for r in e.iterate(now=5)} == before
-    again = Engine(spark, str(tmp_path / "db"), S.EngineOptions(value_threshold=100, max_batch_count=2, verify_checksum=True))
+    again = Engine(spark, str(tmp_path / "db"), S.EngineOptions(value_threshold=100, max_batch_count=2, verify_checksum=True, grace_seconds=0))
     assert {bytes(r["key"]): bytes(r["value"]) for r in again.iterate(now=5)} == before
     info = again.info(now=5)
     assert info["entries"] == len(before) and bytes(info["min_key"]) == b"key00"
@@ -272,6 +276,100 @@ def test_engine(spark, tmp_path):
         Engine(spark, str(tmp_path / "db"))
 
 
+def contents(e):
+    return {bytes(r["key"]): bytes(r["value"]) for r in e.iterate(now=5)}
+
+
+def test_batches_that_differ_at_each_evaluation(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), S.EngineOptions(value_threshold=10, verify_checksum=True))
+    rows = spark.range(50).select(F.col("id").cast("string").cast("binary").alias("key"), F.repeat(F.uuid(), (F.rand() * 3).cast("int") + 1).cast("binary").alias("value"))
+    e.write(mutations.puts(rows))
+    held = contents(e)
+    assert len(held) == 50 and contents(e) == held
+    assert all(bytes(e.get(k, now=5)["value"]) == held[k] for k in (b"0", b"7", b"49"))
+    e.write_all([mutations.puts(rows.where("id < 5").withColumn("value", F.lit(b"first"))), mutations.puts(rows.where("id < 3").withColumn("value", F.lit(b"second"))), mutations.deletes(rows.where("id = 0"))])
+    assert contents(e) == {k: v for k, v in (held | {b"1": b"second", b"2": b"second", b"3": b"first", b"4": b"first"}).items() if k != b"0"}
+
+
+def test_bad_values_are_found(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), S.EngineOptions(value_threshold=10, verify_checksum=True))
+    e.set("sound", "x" * 20), e.set("bad", "y" * 20)
+    fid = next(r["fid"] for r in e.value_log().collect() if bytes(r["key"]) == b"bad")
+    folder = tmp_path / "db" / "vlog" / f"fid={fid}"
+    spark.read.parquet(str(folder)).withColumn("value", F.lit(b"z" * 20)).write.parquet(str(tmp_path / "other"))
+    for f in folder.iterdir():
+        f.unlink()
+    for f in (tmp_path / "other").iterdir():
+        f.rename(folder / f.name)
+    assert bytes(e.get("sound", now=5)["value"]) == b"x" * 20
+    with pytest.raises(S.ChecksumMismatch):
+        e.get("bad", now=5)
+    with pytest.raises(S.ChecksumMismatch):
+        contents(e)
+    assert bytes(Engine(spark, str(tmp_path / "db")).get("bad", now=5)["value"]) == b"z" * 20
+
+
+def test_levels_fill_and_flow(spark, tmp_path):
+    options = S.EngineOptions(level0_tables=2, base_level_size=2000, base_table_size=1000, memtable_size=1000, max_levels=4, value_threshold=1 << 20, grace_seconds=0)
+    e = Engine(spark, str(tmp_path / "db"), options)
+    want = {}
+    for n in range(4):
+        rows = {f"k{(i * 7 + n) % 60:03d}": f"v{n}-{i}" * 5 for i in range(40)}
+        e.write(mutations.puts(spark.createDataFrame([(k.encode(), v.encode()) for k, v in rows.items()], "key binary, value binary")))
+        want |= {k.encode(): v.encode() for k, v in rows.items()}
+    e.delete("k010")
+    want.pop(b"k010", None)
+    assert e.tables().count() == 5
+    done = e.maintain(now=5)
+    assert done["compactions"] >= 1 and contents(e) == want
+    tables = e.tables().collect()
+    lower = [t for t in tables if t["level"] > 0]
+    assert len(lower) > 2 and sum(t["level"] == 0 for t in tables) < 2
+    for level in {t["level"] for t in lower}:  # tables of a level do not overlap
+        spans = sorted((bytes(t["min_key"]), bytes(t["max_key"])) for t in lower if t["level"] == level)
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert all(t["size_bytes"] <= 4000 for t in lower) and e.compact_level(now=5) is None
+    assert len(list((tmp_path / "db" / "tables").glob("*/table_id=*"))) == len(tables) and e.reconcile().isEmpty()
+    with pytest.raises(S.KeyNotFound):
+        e.get("k010", now=5)
+    assert bytes(e.get("k011", now=5)["value"]) == want[b"k011"]
+
+
+def test_maintenance_of_one_range_excludes_another(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), S.EngineOptions(value_threshold=10))
+    for i in range(3):
+        e.set(f"key{i}", "v" * 30)
+    number = e._claim()
+    e._begin(number, {"levels": [0, 6], "lo": b"key1".hex(), "hi": b"key9".hex(), "bytes": 1})
+    with pytest.raises(S.Rejected):
+        e.compact(now=5)
+    assert [tuple(r) for r in e.inflight().collect()] == [(0, 1)]
+    other = e._claim()
+    e._begin(other, {"levels": [1, 2], "lo": b"key1".hex(), "hi": b"key9".hex(), "bytes": 1})
+    e._begin(e._claim(), {"levels": [0, 6], "lo": b"z".hex(), "hi": b"zz".hex(), "bytes": 1})
+    e.unlock()
+    e.compact(now=5)
+    assert contents(e) == {f"key{i}".encode(): b"v" * 30 for i in range(3)} and e.tables().count() == 1
+    with pytest.raises(S.Rejected):
+        e._commit(e._claim(), [], [12345])
+    old = Engine(spark, str(tmp_path / "db"))._claim()
+    assert e._claim() == old + 1
+
+
+def test_the_manifest_is_rewritten(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), S.EngineOptions(value_threshold=10, grace_seconds=0))
+    for i in range(3):
+        e.set(f"key{i}", "v" * 30)
+    e.compact(now=5)
+    before, live = e.changes().count(), e._live()
+    assert not e.rewrite_manifest() and e.rewrite_manifest(force=True)
+    assert e.changes().count() == len(live) < before and e._live() == live
+    e.set("key9", "new")
+    e.remove_orphans()
+    assert [p.name for p in (tmp_path / "db").glob("manifest-*")] == [e._manifest()] != ["manifest-0"]
+    assert contents(Engine(spark, str(tmp_path / "db"))) == {**{f"key{i}".encode(): b"v" * 30 for i in range(3)}, b"key9": b"new"}
+
+
 def test_range_joins_bear_many_tables(spark):
     from pyspark.sql import functions as F
 
