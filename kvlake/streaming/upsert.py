@@ -55,16 +55,15 @@ def stateful_fold(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(StatefulFold(ttl_ms), "key string, version long, seq long, op string, value string", "Update", "ProcessingTime" if ttl_ms else "None")
 
 
-def upsert_batches(read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+def upsert_batches(read: Callable[[int], DataFrame | None], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: the table's rows and the batch's, newest of each key.
 
-    read gives the table (None at first), write replaces it. A batch that comes again after a failure
-    changes nothing, as it holds no newer rows.
+    read gives the table as it was before a batch (None at first), write replaces it. Each batch is first cut to its newest row a key.
+    A batch that comes again after a failure changes nothing, as it holds no newer rows.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        held = read()
-        rows = batch if held is None else held.unionByName(batch)
-        write(winners(rows), batch_id)
+        held = read(batch_id)
+        write(winners(batch if held is None else held.unionByName(winners(batch))), batch_id)
 
     return merge
