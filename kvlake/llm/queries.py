@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_top_k": topk.SQL, "op10_mix_sources": mixing.SQL}
+    return {"op6_suffix_dedup": suffix.SQL, "op8_substring_dedup": substr.SQL, "op9_top_k": topk.SQL, "op10_mix_sources": mixing.SQL}

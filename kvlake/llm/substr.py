@@ -91,3 +91,14 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+hashed AS (SELECT row, unnest(list_transform(range(1, len(w) - 33), lambda s: sha256(array_to_string(w[s:s + 34], ' ')))) AS h, generate_subscripts(list_transform(range(1, len(w) - 33), lambda s: s), 1) AS s FROM d WHERE len(w) >= 35),
+again AS (SELECT row, s FROM hashed WHERE h IN (SELECT h FROM hashed GROUP BY h HAVING count(*) > 1)),
+words AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS s FROM d),
+marked AS (SELECT x.row, x.s, x.word, count(a.s) OVER (PARTITION BY x.row ORDER BY x.s ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone FROM words x LEFT JOIN again a ON x.row = a.row AND x.s = a.s)
+SELECT any_value(d.doc_id) AS doc_id, count(m.s) AS n_words, count(m.s) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY s) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN marked m ON d.row = m.row GROUP BY d.row
+"""

@@ -105,3 +105,15 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+hashed AS (SELECT row, doc_id, s, md5(array_slice(x, s, s + 99)) AS h FROM (SELECT row, doc_id, x, unnest(range(1, octet_length(x) - 98)) AS s FROM d WHERE octet_length(x) >= 100)),
+again AS (SELECT row, s FROM (SELECT row, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS n FROM hashed) WHERE n > 1),
+bytes AS (SELECT row, s, hex(array_slice(x, s, s)) AS b FROM (SELECT row, x, unnest(range(1, octet_length(x) + 1)) AS s FROM d)),
+marked AS (SELECT y.row, y.s, y.b, count(a.s) OVER (PARTITION BY y.row ORDER BY y.s ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) > 0 AS gone FROM bytes y LEFT JOIN again a ON y.row = a.row AND y.s = a.s),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY row ORDER BY s), false) AS begins FROM marked)
+SELECT any_value(d.doc_id) AS doc_id, count(r.s) AS n_bytes, count(r.s) FILTER (gone) AS n_removed, count(r.s) FILTER (begins) AS n_spans, sha256(unhex(coalesce(string_agg(b, '' ORDER BY s) FILTER (NOT gone), ''))) AS kept_sha256
+FROM d LEFT JOIN runs r ON d.row = r.row GROUP BY d.row
+"""
