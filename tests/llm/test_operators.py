@@ -731,3 +731,54 @@ def test_what_is_remembered_changes_no_ids(monkeypatch):
                 assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [enc.encode_ordinary(t) for t in texts[lo:hi]]
                 assert c.decode(ids).to_pylist() == [t.encode() for t in texts[lo:hi]]
                 assert c.held.nbytes + c.held_ids.nbytes <= memo + 20_000  # bitmaps of what is valid
+
+
+def test_the_queries_return_what_their_contracts_say(spark, tmp_path):
+    """Each registered query over small tables: against SQL, the libraries, or counting."""
+    import pyarrow as pa
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from kvlake.llm import queries
+
+    texts = [*REPEATS, "the cat and the dog in house " * 9, "der hund und die katze im haus " * 9, "the dog and a cat of the house " * 9, "die katze und ein hund vor dem haus " * 9] + [f"the cat {i} and the dog in house number {i} of the town" for i in range(30)] + [f"der hund {i} und die katze im haus {i} der stadt" for i in range(30)]
+    lang = [None if i < len(REPEATS) else "de" if t.startswith("d") else "en" for i, t in enumerate(texts)]
+    rows = [(i, t, lang[i], ["a", "b", None, "c"][i % 4], len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 3)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    rng = np.random.default_rng(1)
+    spark.createDataFrame([(i, rng.normal(size=6).tolist(), 0) for i in range(300)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    run = {n: q(spark, str(tmp_path)) for n, q in queries.queries().items()}
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": [r[3] for r in rows]}))
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        want = con.sql(sql)
+        assert sorted(repr(tuple(r)) for r in run[name].select(want.columns).collect()) == sorted(map(repr, want.fetchall())), name
+    enc = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.read_ranks(bpe.default_ranks()), special_tokens={})
+    words = Tokenizer.from_file(tokenstore.default_tokenizer())
+    got = {n: by_id(run[n]) for n in run if n.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op7")}
+    assert all(len(g) == len(texts) for g in got.values())
+    fps = {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+    linked = groups([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2], fps)
+    start = 0
+    for i, t in enumerate(texts):
+        ids = enc.encode_ordinary(t or "")
+        assert got["op1_byte_bpe"][i]["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert (got["op2_pii"][i]["text"], dict(got["op2_pii"][i]["pii_kinds"])) == ((None, {}) if t is None else pii.pseudonymise(t, pii.key_of(spark)))
+        assert (got["op3_simhash"][i]["fingerprint"], got["op3_simhash"][i]["component_id"]) == (f"{fps[i]:016x}", linked[i])
+        assert tuple(got["op4_quality_rules"][i])[1:6] == brute_quality(t)
+        ids = [*words.encode(t or "", add_special_tokens=False).ids, 2]
+        assert tuple(got["op5_token_store"][i])[:4] == (i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+        held = zlib.crc32(str(i).encode()) % 4 == 2
+        assert got["op7_language_id"][i]["held_out"] == held
+    # Language identification: a model of the rows that are not held out labels the others well, and no label of theirs enters it.
+    op7, known = got["op7_language_id"], [i for i, x in enumerate(lang) if x]
+    out = [i for i in known if op7[i]["held_out"]]
+    assert len(out) > 8 and sum(op7[i]["lang_pred"] == lang[i] for i in out) >= 0.9 * len(out)
+    other = docs.withColumn("lang", __import__("pyspark.sql.functions", fromlist=["F"]).expr("CASE WHEN crc32(CAST(doc_id AS STRING)) % 4 = 2 THEN 'xx' ELSE lang END"))
+    other.coalesce(1).write.parquet(str(tmp_path / "again" / "documents.parquet"))
+    assert by_id(langid.op7_language_id(spark, str(tmp_path / "again"))) == op7
+    assert {r["lang_pred"] for r in op7.values()} == {"de", "en", "und"} and all(op7[i]["lang_pred"] == "und" for i in (4, 5, 6))
