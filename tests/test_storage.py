@@ -291,6 +291,15 @@ def test_batches_that_differ_at_each_evaluation(spark, tmp_path):
     assert contents(e) == {k: v for k, v in (held | {b"1": b"second", b"2": b"second", b"3": b"first", b"4": b"first"}).items() if k != b"0"}
 
 
+def test_point_reads_prune(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), S.EngineOptions(value_threshold=10))
+    e.set("a1", "v" * 20), e.set("m1", "v" * 20), e.set("m2", "w")
+    scan_ = e._log_of(b"m1")
+    plan = scan_._jdf.queryExecution().toString()
+    assert "EqualTo(key" in plan and len(scan_.inputFiles()) == 1  # of three tables one can hold the key
+    assert bytes(e.get("m1", now=5)["value"]) == b"v" * 20 == bytes(e.get("m1", now=5)["value"]) and e._values.hits == 1
+
+
 def test_bad_values_are_found(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "db"), S.EngineOptions(value_threshold=10, verify_checksum=True))
     e.set("sound", "x" * 20), e.set("bad", "y" * 20)
