@@ -241,8 +241,8 @@ def _permuted_day(key: bytes, x: int, fits: Callable[[datetime.date], bool]) ->
 
 
 def _width(n: int, text: str, padded: bool) -> bool:
-    """n can be written as wide as `text`: without zeros before it unless `padded`."""
-    return len(text) == 2 if padded else len(str(n)) == len(text)
+    """n can be written as `text` is: with two digits if all are `padded`, else with a zero before it or not."""
+    return padded or (n < 10) == (len(text) == 1 or text[0] == "0")
 
 
 def _date(key: bytes, m: re.Match, order: str) -> str | None:
@@ -251,9 +251,7 @@ def _date(key: bytes, m: re.Match, order: str) -> str | None:
         x = datetime.date(int(parts["y"]), int(parts["m"]), int(parts["d"])).toordinal()
     except ValueError:
         return None
-    padded = len(parts["m"]) == len(parts["d"]) == 2  # else numbers are written without zeros, or this is no date
-    if not padded and "0" in (parts["m"][0], parts["d"][0]):
-        return None
+    padded = len(parts["m"]) == len(parts["d"]) == 2
     new = _permuted_day(key, x, lambda t: _width(t.month, parts["m"], padded) and _width(t.day, parts["d"], padded))
     if new is None:
         return None

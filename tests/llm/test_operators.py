@@ -136,6 +136,8 @@ def test_more_formats():
         assert first == second
         if kind != "date_named":
             assert len(first) == len(value) and re.sub(r"[\da-zA-Z]", "x", first) == re.sub(r"[\da-zA-Z]", "x", value)
+    mixed = {f"2024-{m}-{d:02d}": hide(f"2024-{m}-{d:02d}")[0] for m in range(1, 13) for d in range(1, 29)}
+    assert len(set(mixed.values())) == len(mixed) and all([*map(len, a.split("-"))] == [*map(len, b.split("-"))] for a, b in mixed.items())
     days = {f"{d}/{m}/{y}": hide(f"{d}/{m}/{y}")[0] for y in (1990, 2020) for m in range(1, 13) for d in range(1, 29)}
     assert len(set(days.values())) == len(days) and all([*map(len, a.split("/"))] == [*map(len, b.split("/"))] for a, b in days.items())
     for text in ("version 10.20.30.40", "std::vector a::b 12:34:56", "sk-learning_models_and_more_stuff", "31/2/1999", "45 March 1990", "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9"):
