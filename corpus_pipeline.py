@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm import bpe, minhash, mixing, pii, quality
+from kvlake.llm import bpe, mixing, pii, quality, simjoin
 from kvlake.llm.common import fresh_path, table
 
 
@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents alike in 0.8 of their five-word shingles that of least doc_id stays."""
-    return minhash.keep_one(docs)
+    return simjoin.keep_one(docs)
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, release, table
 
 ROUND_ROWS = 1_000_000
 #: Bytes of words that one query starts from.
@@ -427,6 +427,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pat)
+        release()
         for batch in batches:
             texts = batch.column(n_head)
             for lo, hi in slices(pc.binary_length(texts).to_pylist(), SLICE_BYTES) if len(texts) else ():
@@ -437,6 +438,8 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
                 else:
                     columns.append(ids.cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names)
+                ids = columns = None
+                release()  # else what slices have freed piles up
 
     names = [f.name for f in fields] + (["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + tail

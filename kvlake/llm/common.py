@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +76,25 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives memory that this Python worker has freed back to the system; workers live on beside the JVM and those of later stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """`run` for arrow_map with a release at its end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)

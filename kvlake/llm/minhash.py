@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
+from .common import arrow_map, cut, trimmed
 from .components import components
 from .repeats import _runs
 from .simhash import SEED, Forest, leave_one
@@ -107,12 +107,17 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, component_id (the least doc_id of its group) of each row."""
     rows = cut(signatures(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     reps = cut(rows.where("doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th", "keys")).alias("r")).select("d1", "d2", "r.*"))
-    # 1. Candidate groups: each member of a block hangs on its least.
+    # Candidate groups: each member of a block hangs on its least.
     blocks = reps.select("doc_id", F.posexplode("keys").alias("n", "v"))
     least = blocks.groupBy("n", "v").agg(F.min("doc_id").alias("m"), F.count("*").alias("size")).where("size > 1").select(F.col("n").alias("bn"), F.col("v").alias("bv"), "m")
     edges = blocks.join(least, (F.col("n") == F.col("bn")) & (F.col("v") == F.col("bv"))).where("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")).distinct()
+    return verified(docs, rows, reps, edges, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity, tile=tile)
+
+
+def verified(docs: DataFrame, rows: DataFrame, reps: DataFrame, edges: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """doc_id, component_id of each of `rows` (doc_id, d1, d2); edges (a, b) connect the candidates among `reps` (doc_id, th, d1, d2)."""
     groups = components(edges).select("node", F.col("component").alias("g"))
-    # 2. Their texts, dealt to pairs of tiles.
+    # Their texts, dealt to pairs of tiles.
     sizes = groups.groupBy("g").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles")).withColumnRenamed("g", "of")
     want = groups.join(sizes, F.col("g") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     want = want.join(reps, F.col("node") == F.col("doc_id")).select("node", F.col("th").alias("nth"), "g", "tiles", "own")
@@ -132,7 +137,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     e = np.array(found, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
-    found = components(arrow_map(dealt, verify, "a long, b long"))
+    found = components(arrow_map(dealt, trimmed(verify), "a long, b long"))
     classes = reps.join(found, reps.doc_id == found.node, "left").select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.coalesce("component", "doc_id").alias("component_id"))
     out = rows.join(classes, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")), "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

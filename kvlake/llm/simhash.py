@@ -73,7 +73,7 @@ def planes(fps: np.ndarray) -> np.ndarray:
     words = -(-len(fps) // 64)
     bits = np.zeros((words * 64, 64), np.uint8)
     bits[: len(fps)] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.reshape(words, 64, 64).transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64).reshape(64, words)
+    return np.ascontiguousarray(np.packbits(bits.reshape(words, 64, 64).transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64).reshape(64, words)
 
 
 def within(planes_: np.ndarray, pick: np.ndarray | None, queries: np.ndarray, radius: int) -> np.ndarray:

@@ -9,11 +9,13 @@ import re
 import struct
 
 import duckdb
+import numpy as np
 import pyarrow as pa
+import pytest
 import tiktoken
 from xxhash import xxh64_intdigest
 
-from kvlake.llm import bpe, minhash, mixing, pii, quality
+from kvlake.llm import bpe, minhash, mixing, pii, quality, simhash, simjoin
 
 pipeline = importlib.import_module("corpus_pipeline")
 
@@ -156,3 +158,60 @@ def test_near_dedup_drops_copies_alike_in_four_fifths(spark):
     for tile in (3, 256):
         found = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(docs, tile=tile).collect()}
         assert {v for v in found.values() if v is not None} == kept
+
+
+def test_near_dedup_goes_by_simhash(spark, monkeypatch):
+    """The stage's candidates are signatures within the radius: with none allowed only equal sets of shingles go."""
+    words = [f"w{i}" for i in range(200)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "other"]), 3: " ".join(words).upper(), 4: "something else altogether, of more than five words"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in pipeline.simhash_near_dedup(spark, docs, "").collect()) == [1, 4]
+    hashes = np.array([xxh64_intdigest(b" ".join(s), 42) for s in {tuple(x.encode() for x in g) for g in shingles(texts[1])}], np.uint64)
+    assert [int(w) for w in simjoin.signature(hashes)[:1]] == [simhash.fingerprint(texts[1].encode(), 5)]
+    monkeypatch.setattr(simjoin, "near", lambda sigs, left: iter(()))
+    found = {r["doc_id"]: r["component_id"] for r in simjoin.near_copies(docs.coalesce(1)).collect()}
+    assert found[1] == found[3] == 1 and found[4] == 4
+
+
+@pytest.mark.parametrize("block,tile", [(8, 4096), (64, 20), (2048, 30)])
+def test_simhash_join_links_what_is_alike(spark, block, tile):
+    """Against all pairs: in many tables, and in blocks that are cut into tiles."""
+    rng = random.Random(block)
+    texts = {}
+    for i in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 300))]
+        for e in range(8):
+            texts[100 * e + i] = " ".join(words)
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+    texts |= {1000: "", 1001: " \n", 1002: None, 1003: "one two", 1004: "One  two", 1005: "one two three"}
+    up, sets = {k: k for k in texts}, {k: shingles(t or "") or {tuple((t or "").lower().split())} for k, t in texts.items()}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and up[a] != up[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                lo, hi = sorted((up[a], up[b]))
+                up = {k: lo if v == hi else v for k, v in up.items()}
+    assert len(set(up.values())) < len(texts) - 100
+    docs = spark.createDataFrame([*texts.items(), (None, texts[0]), (5, texts[5])], "doc_id long, text string")
+    found = [(r["doc_id"], r["component_id"]) for r in simjoin.near_copies(docs, block=block, tile=tile).collect()]
+    assert sorted(found, key=str) == sorted([*up.items(), (None, None), (5, up[5])], key=str)
+
+
+@pytest.mark.parametrize("left", [0, 20, 40, 150])
+def test_wide_bit_sliced_comparison(left):
+    rng = np.random.default_rng(left)
+    sigs = rng.integers(0, 2**64 - 1, (300, 4), dtype=np.uint64)
+    for i in range(0, 300, 3):
+        flip = np.zeros(256, np.uint8)
+        flip[rng.choice(256, rng.integers(0, 90), replace=False)] = 1
+        sigs[i] = sigs[i // 2] ^ np.packbits(flip, bitorder="little").view(np.uint64)
+    apart = np.bitwise_count(sigs[:, None] ^ sigs[None]).astype(int)
+    alike = (apart[:, :, :2].sum(axis=2) <= simjoin.NARROW) & (apart.sum(axis=2) <= simjoin.WIDE)
+    want = {(i, j) for i, j in np.argwhere(alike).tolist() if (j < left <= i if left else j < i)}
+    got = [x for i, j in simjoin.near(sigs, left) for x in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    up = np.arange(300)
+    for i, j in got:
+        simjoin.join(up, np.array([i]), np.array([j]))
+    at_once = np.arange(300)
+    simjoin.join(at_once, *np.array(got).T)
+    assert (up == at_once).all()
