@@ -31,16 +31,18 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh_path, open_store, table, write_table
+from .bpe import slices
+from .common import arrow_map, fresh_path, open_store, release, table, write_table
 
 MAGIC = b"KVTOKEN1"
 HEADER = "<8sHxxxxxx"
@@ -49,6 +51,11 @@ SHARD_BYTES = 64 << 20
 BUCKET_KEYS = 1024
 GROUP_KEYS = 4
 CACHE_WORDS = 1_500_000
+#: Bytes of text (or one longer text) encoded at once.
+TEXT_BYTES = 2 << 20
+#: Stands between words that the tokenizer gets as one text, GROUP_WORDS at a time.
+MARK = b"\x01"
+GROUP_WORDS = 64
 #: Bytes of a row group of the index: a lookup reads one.
 INDEX_GROUP = 1 << 20
 END_ID = 2
@@ -65,6 +72,7 @@ class Encoder:
 
     For a tokenizer whose normalizer and splitter treat what lies between white
     space on its own (as checked for the default one), the ids of a text are those of its words in a row.
+    New words go to the library in groups with MARK between them; its id, which no word without MARK has, tells them apart again.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,27 +81,59 @@ class Encoder:
 
         self.t = Tokenizer.from_file(path)
         self.kind = "<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4"
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {b"": b""}
         with open(path, encoding="utf-8") as f:
             self.by_word = json.load(f)["pre_tokenizer"]["pretokenizers"][0].get("behavior") == "Removed"
+        self.mark = self.t.encode(MARK.decode(), add_special_tokens=False).ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, in this encoder's width."""
         if not self.by_word:
             return [np.array(e.ids, self.kind).tobytes() for e in self.t.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        if not texts:
+            return []
         if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        code = "H" if self.kind == "<u2" else "I"
-        cut_ = [t.split() for t in texts]
-        new = list(set(chain.from_iterable(cut_)).difference(self.words))
+            self.words = {b"": b""}
+        # Arrow splits at the white space of ASCII; each distinct word is looked up once, and its ids are laid out at all its places.
+        cut_ = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        coded = cut_.values.dictionary_encode()
+        _, offsets, raw = coded.dictionary.buffers()
+        at, raw = np.frombuffer(offsets, np.int64, len(coded.dictionary) + 1).tolist(), raw.to_pybytes() if raw is not None else b""
+        distinct = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        found = list(map(self.words.get, distinct))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        self.learn([distinct[i] for i in new])
+        for i in new:
+            found[i] = self.words[distinct[i]]
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, offsets, raw = ids.buffers()
+        at = np.frombuffer(offsets, np.int64, len(ids) + 1)[cut_.offsets.to_numpy()].tolist()
+        raw = memoryview(raw) if raw is not None else b""
+        return [bytes(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def learn(self, new: list[bytes]) -> None:
+        """Remembers the ids of words that are not yet known."""
+        plain = [w for w in new if MARK not in w] if len(self.mark) == 1 else []
+        if len(plain) < len(new):
+            self._learn_singly(set(new).difference(plain))
+        for lo in range(0, len(plain), 20_000):
+            part = plain[lo : lo + 20_000]
+            found = self.t.encode_batch_fast([(b" " + MARK + b" ").join(part[i : i + GROUP_WORDS]).decode() for i in range(0, len(part), GROUP_WORDS)], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(chain(e.ids, self.mark) for e in found), self.kind)
+            ends = np.flatnonzero(ids == self.mark[0])
+            if len(ends) != len(part):  # a tokenizer that gives the mark's id to other words
+                self._learn_singly(part)
+                continue
+            raw, width = ids.tobytes(), ids.itemsize
+            starts = (np.append(0, ends[:-1] + 1) * width).tolist()
+            self.words.update(zip(part, [raw[a:b] for a, b in zip(starts, (ends * width).tolist(), strict=True)], strict=True))
+
+    def _learn_singly(self, new: Iterable[bytes]) -> None:
+        new = list(new)
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
             found = self.t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                ids = e.ids
-                self.words[w] = struct.pack(f"<{len(ids)}{code}", *ids)
-        get = self.words.__getitem__
-        return [b"".join(map(get, c)) for c in cut_]
+            self.words.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(part, found, strict=True))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -121,8 +161,8 @@ def write_shards(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
             for batch in batches:
                 ids_, n = batch.column(0).to_pylist(), batch.num_rows
                 rows: list[tuple] = []
-                for lo in range(0, n, 256):
-                    for doc, ids in zip(ids_[lo : lo + 256], enc.encode(batch.column(1).slice(lo, 256).to_pylist()), strict=True):
+                for lo, hi in slices(pc.binary_length(batch.column(1)).to_pylist(), TEXT_BYTES) if n else ():
+                    for doc, ids in zip(ids_[lo:hi], enc.encode(batch.column(1).slice(lo, hi - lo).to_pylist()), strict=True):
                         if file is None or first * width >= SHARD_BYTES:
                             if file is not None:
                                 file.close()
@@ -136,6 +176,7 @@ def write_shards(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
                         last = (doc,)
                         rows.append((doc, k, part, seq, name, first, count))
                         first += count
+                release()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
         finally:
             if file is not None:

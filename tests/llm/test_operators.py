@@ -388,6 +388,50 @@ def test_token_store(spark):
     assert "PushedFilters: [IsNotNull(bucket), EqualTo(bucket,0)]" in plan
 
 
+def test_token_encoder_does_not_work_word_by_word():
+    from tokenizers import Tokenizer
+
+    path = tokenstore.default_tokenizer()
+    t, enc, texts_given, lookups = Tokenizer.from_file(path), tokenstore.Encoder(path), [], []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            texts_given.extend(texts)
+            return t.encode_batch_fast(texts, **more)
+
+    class Words(dict):
+        def __getitem__(self, w):
+            lookups.append(w)
+            return dict.__getitem__(self, w)
+
+        def get(self, w, other=None):
+            lookups.append(w)
+            return dict.get(self, w, other)
+
+    enc.t, enc.words = Counting(), Words(enc.words)
+    odd = ["a\x01b", "\x01", "\x01\x01!", "!\x01 \x01 \x01a", "\u0301x e\u0301 \u0301", "x<|endoftext|>y", "<|startoftext|> <|endoftext|>", "nb\u00a0sp\u2028ls\x85x", "\x1c \x1fa", "\u200d \ufeff\u0101 \u0101\x02", "'s it's 'S", "</w> w</w>", "İI ΑΣ Σ", "9" * 5000]
+    texts = [*TEXTS, *odd, " ".join(f"w{i}" for i in range(3000)), "same words " * 5000, "", " \x0b"]
+    for part in (texts, texts[::-1], []):
+        got = enc.encode([(x or "").encode() for x in part])
+        assert [np.frombuffer(g, enc.kind).tolist() for g in got] == [t.encode(x or "", add_special_tokens=False).ids for x in part]
+    new = {w for x in texts for w in (x or "").encode().split()}
+    assert len(new) > 3000 and len(texts_given) < len(new) / 32
+    assert len(lookups) < 5 * len(new)
+
+
+def test_token_encoder_of_a_tokenizer_without_a_mark(tmp_path):
+    """A vocabulary of whole words gives unknown ones, the mark too, one id."""
+    import json
+
+    about = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "post_processor": None, "decoder": None}
+    about |= {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "\\S+"}, "behavior": "Removed", "invert": True}]}}
+    about |= {"model": {"type": "WordLevel", "vocab": {"?": 0, "a": 1, "b": 2}, "unk_token": "?"}}
+    path = tmp_path / "words.json"
+    path.write_text(json.dumps(about))
+    got = tokenstore.Encoder(str(path)).encode([b"a c b", b"", b"b  d", b"a"])
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [[1, 0, 2], [], [2, 0], [1]]
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 2**63, 1500, dtype=np.uint64)
     d = tokenstore.perfect_hash(keys)
