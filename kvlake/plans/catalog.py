@@ -249,8 +249,8 @@ def lsm_stale_bytes(spark, sf_dir):
 def _part_tables(spark, sf_dir) -> DataFrame:
     """Parts as table metadata: level, bytes, stale bytes, a key range that overlaps some neighbours."""
     return _t(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("table_id"), (F.col("p_partkey") % 7).cast("int").alias("level"), (F.col("p_size") * 1_000_000).cast("long").alias("size_bytes"),
-        (F.col("p_size") * F.col("p_size") * 1000).cast("long").alias("stale_bytes"), (F.col("p_partkey") * 10).alias("min_key"), (F.col("p_partkey") * 10 + F.col("p_size")).alias("max_key"),
+        F.col("p_partkey").alias("table_id"), (F.col("p_partkey") % 7).cast("int").alias("level"), (F.col("p_size").cast("long") * 1_000_000).alias("size_bytes"),
+        (F.col("p_size").cast("long") * F.col("p_size") * 1000).alias("stale_bytes"), (F.col("p_partkey") * 10).alias("min_key"), (F.col("p_partkey") * 10 + F.col("p_size")).alias("max_key"),
         (F.col("p_partkey") * 7 % 101).alias("max_version"), (F.col("p_partkey") * 13 % 97).alias("created_at"),
     )
 
@@ -294,9 +294,14 @@ def _scores(spark, sf_dir) -> DataFrame:
     return compaction.level_scores(t, compaction.level_policy(t))
 
 
+def _nine_places(x: str):
+    """As the SQL rounds: the scaled double. Spark's round(x, 9) rounds the decimal digits, which now and then differs."""
+    return (F.round(F.col(x) * 1e9) / 1e9).alias(x)
+
+
 @query(_SCORES + "SELECT level, round(score, 9) AS score, round(adjusted, 9) AS adjusted FROM damped")
 def lsm_level_scores(spark, sf_dir):
-    return _scores(spark, sf_dir).select("level", F.round("score", 9).alias("score"), F.round("adjusted", 9).alias("adjusted"))
+    return _scores(spark, sf_dir).select("level", _nine_places("score"), _nine_places("adjusted"))
 
 
 @query(_SCORES + "SELECT level, CAST(row_number() OVER (ORDER BY adjusted DESC, level) AS INTEGER) AS urgency FROM damped WHERE score >= 1 AND level < 6")

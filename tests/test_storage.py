@@ -73,6 +73,25 @@ def test_level_policy(spark):
     assert compaction.flow_level({})[1] == 6 and compaction.flow_level({6: 10**12}) == (1, 5)
 
 
+def test_level_scores_with_level0_as_base(spark, tmp_path):
+    """A last level of more than 10 MiB * 10**5: level 0 is the base and is damped by itself, as in the SQL."""
+    import duckdb
+
+    from kvlake.plans import catalog
+
+    rows = "SELECT id AS p_partkey, CAST(46000 + id AS INT) AS p_size FROM range(200)"
+    spark.sql(rows).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert {r["level"]: r["damped_by"] for r in compaction.level_policy(catalog._part_tables(spark, str(tmp_path))).collect()}[0] == 0
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    for name in ("lsm_level_targets", "lsm_level_scores", "lsm_due_levels"):
+        got = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(db.execute(catalog.SQL[name]).fetchall()), name
+    near = [4369.3621736575, 8706.2457341125, 11656.979666642499, 22343390.324752506]
+    near_half = spark.createDataFrame([(x,) for x in near], "score double")
+    assert [tuple(r) for r in near_half.select(catalog._nine_places("score")).collect()] == [db.execute("SELECT round(?::DOUBLE, 9)", [x]).fetchone() for x in near]
+
+
 def test_flow_level_walks_up_and_slides_down():
     from itertools import product
 
