@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-#: Tables a bucket of range joins, about, and buckets at most.
-BUCKET = 128
-MAX_BUCKETS = 1024
+#: Lower ends a bucket of range joins, about; the buckets are as many as the tables need.
+BUCKET = 64
 
 
 def overlaps(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> Column:
@@ -26,24 +27,41 @@ def key_range(tables: DataFrame, *by: str) -> DataFrame:
     return tables.groupBy(*by).agg(F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"))
 
 
+def _upto(bounds: Column, key: Column, most: int) -> Column:
+    """How many of the sorted bounds (`most` at most) are not above the key, by halving: filtering them all is what takes time."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, most.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
+
+
 def bucketed(tables: DataFrame, *others: tuple[DataFrame, str]) -> list[DataFrame]:
     """`tables` with a row for each bucket its range meets (home: that of min_key), and each (rows, column) with its bucket.
 
-    Buckets lie between bounds near the quantiles of min_key, so joins on `bucket` compare neighbours only; any
-    bounds give the same joins. At most MAX_BUCKETS bounds come to the driver.
+    Buckets lie between bounds, so joins on `bucket` compare neighbours only; any bounds give the same joins. One in BUCKET
+    of the distinct min_keys, picked by hash, is a bound, so a bucket holds as much however many tables there are.
+    The bounds, and nothing else, come to the driver. They are cut into runs, about the square root of their number: a key
+    finds its run by the runs' first bounds (one broadcast row), then its place in it (a broadcast row a run), so that
+    no row ever carries all bounds.
     """
-    lows = tables.where("min_key IS NOT NULL").select("min_key")
-    parts = max(1, min(MAX_BUCKETS, lows.count() // BUCKET))
-    least = lows.repartitionByRange(parts, "min_key").withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.min("min_key").alias("lo")).collect()
-    kind = StructType([StructField("bounds", ArrayType(lows.schema["min_key"].dataType))])
-    bounds = F.broadcast(tables.sparkSession.createDataFrame([(sorted(r["lo"] for r in least),)], kind))
-
-    def bucket(key: Column) -> Column:
-        return F.size(F.filter("bounds", lambda b: b <= key))
-
-    near = tables.where("min_key IS NOT NULL AND max_key IS NOT NULL").crossJoin(bounds).withColumn("home", bucket(F.col("min_key")))
-    near = near.withColumn("last", bucket(F.col("max_key"))).withColumn("bucket", F.explode(F.sequence(F.least("home", "last"), F.greatest("home", "last"))))
-    return [near.drop("bounds", "last"), *(rows.where(F.col(c).isNotNull()).crossJoin(bounds).withColumn("bucket", bucket(F.col(c))).drop("bounds") for rows, c in others)]
+    spark = tables.sparkSession
+    lows = tables.where("min_key IS NOT NULL").select("min_key").where(F.pmod(F.xxhash64("min_key"), F.lit(BUCKET)) == 0)
+    bounds = [r["min_key"] for r in lows.distinct().orderBy("min_key").collect()]
+    for rows, _ in others:  # no more buckets than keys: wide tables are in most of them
+        bounds = bounds[:: -(-len(bounds) // max(1, rows.limit(len(bounds)).count()))] if bounds else bounds
+    long = max(1, math.isqrt(len(bounds)))
+    cut = range(0, len(bounds), long)
+    kind = ArrayType(lows.schema["min_key"].dataType)
+    firsts = F.broadcast(spark.createDataFrame([([bounds[i] for i in cut],)], StructType([StructField("firsts", kind)])))
+    # Run 0 holds the keys below all bounds.
+    cuts = [(0, 0, []), *((n, i, bounds[i : i + long]) for n, i in enumerate(cut, 1))]
+    runs = F.broadcast(spark.createDataFrame(cuts, StructType([StructField("run", IntegerType()), StructField("before", IntegerType()), StructField("bounds", kind)])))
+
+    def with_bucket(rows: DataFrame, key: str, name: str) -> DataFrame:
+        found = rows.crossJoin(firsts).withColumn("run", _upto(F.col("firsts"), F.col(key), len(cut))).drop("firsts")
+        return found.join(runs, "run").withColumn(name, F.col("before") + _upto(F.col("bounds"), F.col(key), long)).drop("run", "before", "bounds")
+
+    near = with_bucket(with_bucket(tables.where("min_key IS NOT NULL AND max_key IS NOT NULL"), "min_key", "home"), "max_key", "last")
+    near = near.withColumn("bucket", F.explode(F.sequence(F.least("home", "last"), F.greatest("home", "last")))).drop("last")
+    return [near, *(with_bucket(rows.where(F.col(c).isNotNull()), c, "bucket") for rows, c in others)]
 
 
 def overlap_pairs(tables: DataFrame) -> DataFrame:

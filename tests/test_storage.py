@@ -417,3 +417,28 @@ def test_range_joins_bear_many_tables(spark):
         plan = join._jdf.queryExecution().optimizedPlan().toString()
         assert any("bucket" in line and "Join Inner" in line for line in plan.splitlines()), plan
     assert ranges.overlap_pairs(t.limit(0)).count() == 0 and ranges.table_for_key(keys, t.limit(0)).count() == 0
+
+
+def test_buckets_of_range_joins_hold_as_much_at_any_size(spark):
+    from pyspark.sql import functions as F
+
+    def load(n, every):
+        near, at = ranges.bucketed(spark.range(n).selectExpr("id AS table_id", "id * 10 AS min_key", "id * 10 + id % 50 AS max_key"), (spark.range(0, 10 * n, every).toDF("key"), "key"))
+        held, asked = near.groupBy("bucket").agg(F.count("*").alias("n")), at.groupBy("bucket").agg(F.count("*").alias("k"))
+        return [r or 0 for r in held.join(asked, "bucket", "full").agg(F.sum(F.col("n") * F.col("n")), F.sum(F.col("n") * F.col("k"))).first()]
+
+    for n in (50_000, 400_000):  # comparisons of pairs and of a key a table grow with the tables, not with their square
+        pairs, looks = load(n, 10)
+        assert pairs < 200 * n and looks < 200 * n, n
+    near, _ = ranges.bucketed(spark.range(20_000).selectExpr("id AS table_id", "id AS min_key", "id + 20000 AS max_key"), (spark.range(5).toDF("key"), "key"))
+    assert near.count() <= 6 * 20_000  # few keys: wide tables are not laid out over more buckets than there are keys
+
+
+def test_place_among_sorted_bounds(spark):
+    from bisect import bisect_right
+
+    from pyspark.sql import functions as F
+
+    rows = [([*range(0, 2 * n, 2)], k) for n in (0, 1, 2, 3, 7, 8, 9, 31) for k in range(-1, 2 * n + 2)]
+    got = spark.createDataFrame(rows, "b array<long>, k long").select("b", "k", ranges._upto(F.col("b"), F.col("k"), 31).alias("n")).collect()
+    assert all(r["n"] == bisect_right(r["b"], r["k"]) for r in got)
