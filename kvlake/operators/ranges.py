@@ -28,9 +28,12 @@ def key_range(tables: DataFrame, *by: str) -> DataFrame:
 
 
 def _upto(bounds: Column, key: Column, most: int) -> Column:
-    """How many of the sorted bounds (`most` at most) are not above the key, by halving: filtering them all is what takes time."""
+    """How many of the sorted bounds (`most` at most) are not above the key, by halving: filtering them all is what takes time.
+
+    Never null, or joins by it would work it out a second time to drop nulls.
+    """
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, most.bit_length())))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at)), F.lit(0))
 
 
 def bucketed(tables: DataFrame, *others: tuple[DataFrame, str]) -> list[DataFrame]:
@@ -53,7 +56,7 @@ def bucketed(tables: DataFrame, *others: tuple[DataFrame, str]) -> list[DataFram
     firsts = F.broadcast(spark.createDataFrame([([bounds[i] for i in cut],)], StructType([StructField("firsts", kind)])))
     # Run 0 holds the keys below all bounds.
     cuts = [(0, 0, []), *((n, i, bounds[i : i + long]) for n, i in enumerate(cut, 1))]
-    runs = F.broadcast(spark.createDataFrame(cuts, StructType([StructField("run", IntegerType()), StructField("before", IntegerType()), StructField("bounds", kind)])))
+    runs = F.broadcast(spark.createDataFrame(cuts, StructType([StructField("run", IntegerType(), False), StructField("before", IntegerType(), False), StructField("bounds", kind)])))
 
     def with_bucket(rows: DataFrame, key: str, name: str) -> DataFrame:
         found = rows.crossJoin(firsts).withColumn("run", _upto(F.col("firsts"), F.col(key), len(cut))).drop("firsts")

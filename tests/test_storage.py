@@ -442,3 +442,12 @@ def test_place_among_sorted_bounds(spark):
     rows = [([*range(0, 2 * n, 2)], k) for n in (0, 1, 2, 3, 7, 8, 9, 31) for k in range(-1, 2 * n + 2)]
     got = spark.createDataFrame(rows, "b array<long>, k long").select("b", "k", ranges._upto(F.col("b"), F.col("k"), 31).alias("n")).collect()
     assert all(r["n"] == bisect_right(r["b"], r["k"]) for r in got)
+
+
+def test_range_joins_look_up_each_bucket_once(spark):
+    import re
+
+    t = spark.range(500).selectExpr("id AS table_id", "id * 10 AS min_key", "id * 10 + 25 AS max_key")
+    for join in (ranges.overlap_pairs(t), ranges.table_for_key(spark.range(50).toDF("key"), t)):
+        plan = join._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(" in plan and not re.search(r"isnotnull\([^)]*aggregate\(", plan), plan
